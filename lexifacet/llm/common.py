@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,10 +106,6 @@ def drop_rows(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
     return docs.withColumn(name, key).join(keys.select(F.col("k").alias(name)).distinct(), name, "left_anti").drop(name).select(*[f"`{c}`" for c in docs.columns])
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def prefix_sums(df: DataFrame, group: list[str], cell: list[str], order: list[str], value: str) -> DataFrame:
     """df with `before` and `total`: the sums of `value` (whole numbers) over the rows ahead in the group, and over the group.
 
@@ -121,3 +119,51 @@ def prefix_sums(df: DataFrame, group: list[str], cell: list[str], order: list[st
     cells = cells.select(*group, *cell, F.coalesce(F.sum("__cell").over(ahead), F.lit(0)).alias("__ahead"), F.sum("__cell").over(Window.partitionBy(*group)).alias("total"))
     inside = Window.partitionBy(*group, *cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.join(cells, [*group, *cell]).withColumn("before", F.col("__ahead") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__ahead")
+
+
+def blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """rows (with class, and n, the size of their group) sorted into groups (group, x, y), each in one partition.
+
+    A group of up to `most` rows has the one block pair (0, 0). A larger one is
+    cut into blocks by a hash of the class, `sub`, and each pair of its blocks
+    meets once, so that no task holds more than two blocks.
+    """
+    rows = rows.withColumn("parts", F.expr(f"cast(ceil(n / {most}) as int)")).withColumn("sub", F.expr("cast(pmod(xxhash64(class), parts) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    rows = rows.withColumn("x", F.least("sub", "other")).withColumn("y", F.greatest("sub", "other")).drop("other", "parts", "n")
+    return rows.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The stretches of equal keys of sorted batches, each as a table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        columns = [b.column(k).to_numpy() for k in keys]
+        cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist(), len(b)]
+        for s, e in zip(cuts, cuts[1:]):
+            key = tuple(c[s] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """At most n - 1 edges that connect 0..n-1 as far as near(i, others), a mask, does."""
+    rest, queue = np.arange(1, n), [0]
+    while len(rest):
+        if not queue:
+            queue, rest = [int(rest[0])], rest[1:]
+            continue
+        i = queue.pop()
+        hit = near(i, rest)
+        for j in rest[hit].tolist():
+            yield i, j
+            queue.append(j)
+        rest = rest[~hit]

@@ -8,13 +8,15 @@ paired.
 Each tree branches the classes: a node takes BRANCH of the 64 minwise
 coordinates by a hash of its path, and a class follows the value it has there,
 so a pair of similarity s shares a child with 1 - (1 - s)^BRANCH. Nodes of one
-class end. In nodes of at most SMALL classes all pairs are compared by size and
-by 64-bit sketches (one bit of each coordinate); in larger ones each class is
-compared with the least. What passes is confirmed on full sets; links join into
-components. A large node whose classes are in one component by now is done;
-any other branches on, until all are small or DEPTH is reached, where all pairs
-that differ in component are compared whatever the size. TREES independent
-trees bring the chance to miss a pair at the threshold below one in a million.
+class end, and nodes above SMALL classes branch on, DEPTH levels at most. A
+small node is compared exhaustively by one byte of each coordinate, which
+yields at most n - 1 edges; so is, in blocks of SMALL, one that is left at the
+last level. TREES independent trees bring the chance to miss a pair at the
+threshold to about one in a million. What these edges connect is a family.
+Only members of families have their sets built again from their texts; within
+a family, in blocks of BLOCK sets, pairs that are alike in code and size are
+confirmed on full sets, again with at most n - 1 edges out, and these links
+join into components. So neither pairs nor sets multiply in the shuffles.
 
 A null or wordless text has the empty set, links with nothing and is kept.
 Rows repeated throughout are one document with several rows. Null ids count as
@@ -30,23 +32,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, free_name, row_key
+from .common import Scratch, blocks, components, forest, free_name, row_key, runs
 from .words import Words, chunks, mix, sets, utf8
 
 COORDINATES = 64
 TREES = 5
 BRANCH = 2
-SMALL = 32
-DEPTH = 10
+SMALL = 2000
+DEPTH = 4
+BLOCK = 300
 _XOR = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES = mix(np.arange(101, COORDINATES + 101, dtype=np.uint64)) | np.uint64(1)
 
 
-def digests(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set size, class, sketch, coordinates) of each text: equal sets have equal classes."""
+def digests(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set size, class, coordinates) of each text: equal sets have equal classes."""
     data, offsets = utf8(column)
     n = len(column)
-    many, group, sketch = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    many, group = np.zeros(n, np.int64), np.zeros(n, np.uint64)
     low = np.zeros((n, COORDINATES), np.uint32)
     for lo, hi in chunks(offsets):
         element, first = sets(Words(data, offsets, lo, hi), k)
@@ -56,13 +59,9 @@ def digests(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             continue
         u, at = mix(element), first[:-1][some]
         group[lo + some] = mix(np.add.reduceat(mix(u ^ np.uint64(0x5851F42D4C957F2D)), at) + many[lo + some].astype(np.uint64))
-        bits = np.zeros(len(some), np.uint64)
         for i in range(COORDINATES):
-            least = mix(np.minimum.reduceat((u ^ _XOR[i]) * _TIMES[i], at))
-            low[lo + some, i] = least >> np.uint64(32)
-            bits |= (least & np.uint64(1)) << np.uint64(i)
-        sketch[lo + some] = bits
-    return many, group, sketch, low
+            low[lo + some, i] = mix(np.minimum.reduceat((u ^ _XOR[i]) * _TIMES[i], at)) >> np.uint64(32)
+    return many, group, low
 
 
 def text_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -73,18 +72,22 @@ def text_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield element[a:z].astype(np.int64)
 
 
-def _differ(num: int, den: int) -> int:
-    """Sketch bits that a pair at the threshold differs in, but for one in a million."""
-    p, n, total, d = (1 - num / den) / 2, COORDINATES, 0.0, 0
+def _alike(num: int, den: int) -> int:
+    """Coordinates that a pair at the threshold agrees in, but for one in a million."""
+    p, n, total, d = 1 - num / den, COORDINATES, 0.0, 0
     term = (1 - p) ** n
     while True:
         total += term
         if total > 1 - 1e-6 or d == n:
-            return d
+            return n - d
         term *= (n - d) / (d + 1) * p / (1 - p)
         d += 1
 
 
+def _codes(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(t.num_rows, COORDINATES)
+
+
 def links(docs: DataFrame, scratch: Scratch, key: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(rows, components): rows (key, doc_id, n_shingles, class) of all documents; (id, component) of the classes that link.
 
@@ -94,78 +97,100 @@ def links(docs: DataFrame, scratch: Scratch, key: str, k: int, num: int, den: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            many, group, sketch, low = digests(b.column("text"), k)
-            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * COORDINATES), len(b), [None, pa.py_buffer(low.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(many), pa.array(group.view(np.int64)), pa.array(sketch.view(np.int64)), flat], ["key", "doc_id", "n_shingles", "class", "sketch", "low"])
+            many, group, low = digests(b.column("text"), k)
+            code = np.ascontiguousarray((low & np.uint32(255)).astype(np.uint8))
+            fixed = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(w), len(b), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) for w, x in ((COORDINATES, code), (4 * COORDINATES, low))]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(many), pa.array(group.view(np.int64)), *fixed], ["key", "doc_id", "n_shingles", "class", "code", "low"])
 
     slim = docs.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.save(slim.mapInArrow(run, "key long, doc_id long, n_shingles long, class long, sketch long, low binary"))
-    classes = scratch.save(rows.where("n_shingles > 0").groupBy("class").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
-    lows = rows.join(classes.select("class", "key"), ["class", "key"]).dropDuplicates(["class"]).select("class", "low")
-    near = f"least(a.n, b.n) * {den}L >= greatest(a.n, b.n) * {num}L and bit_count(a.sketch ^ b.sketch) <= {_differ(num, den)}"
-
-    def value(c: str) -> str:
-        return f"substring(low, {c} * 4 + 1, 4)"
+    rows = scratch.save(slim.mapInArrow(run, "key long, doc_id long, n_shingles long, class long, code binary, low binary"))
+    classes = rows.where("n_shingles > 0").groupBy("class").agg(F.min("key").alias("key"))
+    classes = scratch.save(rows.select("class", "key", F.col("n_shingles").alias("size"), "code", "low").join(classes, ["class", "key"]).dropDuplicates(["class"]))
+    alike = _alike(num, den)
 
     def children(nodes: DataFrame) -> DataFrame:
-        """(path, class): nodes (path, class, low) one step on."""
-        picks = F.array(*[F.expr(f"xxhash64(path, pmod(xxhash64(path, {j}), {COORDINATES}), {value(f'cast(pmod(xxhash64(path, {j}), {COORDINATES}) as int)')}, {j})") for j in range(BRANCH)])
-        return nodes.select("class", F.explode(F.array_distinct(picks)).alias("path"))
-
-    found: DataFrame | None = None
-    sizes = "class long, elements array<long>"
-    known = rows.sparkSession.createDataFrame([], sizes)
-    joined = rows.sparkSession.createDataFrame([], "id long, component long")
-    confirmed: list[DataFrame] = []
-    nodes = children(lows.select("class", "low", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("path").alias("path")).withColumn("path", F.col("path").cast("long")))
+        """(path, class): nodes (path, class, low) one step on, at BRANCH coordinates that hang on the path."""
+        picks = []
+        for j in range(BRANCH):
+            c = f"cast(pmod(xxhash64(path, {j}), {COORDINATES}) as int)"
+            picks.append(F.expr(f"xxhash64(path, {j}, substring(low, {c} * 4 + 1, 4))"))
+        return nodes.select("class", F.explode(F.array(*picks)).alias("path"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for t in runs(batches, ["path", "x", "y"]):
+            code, ids = _codes(t), t.column("class").to_numpy()
+            for i, j in forest(len(ids), lambda i, rest, code=code: (code[rest] == code[i]).sum(1) >= alike):
+                a.append(ids[i])
+                b.append(ids[j])
+            if len(a) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    trees = F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])).alias("path")
+    nodes = children(classes.select("class", "low", trees))
+    near: DataFrame | None = None
     for depth in range(1, DEPTH + 1):
-        count = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n_node"), F.min("class").alias("least")).where("n_node > 1")
-        member = nodes.join(count, "path").join(classes.select("class", "n", "sketch"), "class")
-        member = scratch.save(member.join(joined.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")))
-        if depth > 1:
-            split = member.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("path")
-            member_open = member.join(split, "path", "left_semi")
-        else:
-            member_open = member
-        small = f"n_node <= {SMALL}" if depth < DEPTH else "true"
-        a, b = member_open.where(small).alias("a"), member_open.where(small).alias("b")
-        pairs = a.join(b, F.expr(f"a.path = b.path and a.class < b.class and a.component != b.component and {near}")).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
-        if depth < DEPTH:
-            big = member_open.where(f"not ({small})")
-            star = big.select("path", "least").distinct().join(classes.select(F.col("class").alias("least"), "n", "sketch"), "least")
-            star = big.alias("b").join(star.alias("a"), F.expr(f"a.path = b.path and a.least != b.class and {near}")).select(F.col("a.least").alias("a"), F.col("b.class").alias("b"))
-            pairs = pairs.union(star)
-        pairs = pairs.distinct()
-        if found is not None:
-            pairs = pairs.join(found, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs)
-        if not pairs.isEmpty():
-            wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(known, "class", "left_anti")
-            fresh = docs.join(classes.join(wanted, "class").select(F.col("key").alias(key), "class"), key)
-
-            def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for x in batches:
-                    yield pa.RecordBatch.from_arrays([x.column("class"), pa.array(list(text_sets(x.column("text"), k)), pa.list_(pa.int64()))], ["class", "elements"])
-
-            fresh = scratch.save(fresh.select("class", "text").mapInArrow(run_sets, sizes).dropDuplicates(["class"]))
-            known = fresh if depth == 1 else known.union(fresh)
-            shared = F.size(F.array_intersect("x.elements", "y.elements")).cast("long")
-            good = pairs.join(known.alias("x"), F.expr("a = x.class")).join(known.alias("y"), F.expr("b = y.class")).where(shared * (den + num) >= num * (F.size("x.elements") + F.size("y.elements")).cast("long")).select("a", "b")
-            confirmed.append(scratch.save(good))
-            found = pairs if found is None else found.union(pairs)
-            every = confirmed[0]
-            for c in confirmed[1:]:
-                every = every.union(c)
-            joined = scratch.save(components(every, scratch))
-        if depth == DEPTH:
+        many = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        member = scratch.save(nodes.join(many, "path"))
+        small = f"n <= {SMALL}" if depth < DEPTH else "true"
+        edges = blocks(member.where(small).join(classes.select("class", "code"), "class"), "path", SMALL).select("path", "x", "y", "class", "code").mapInArrow(search, "a long, b long")
+        edges = scratch.save(edges.distinct())
+        near = edges if near is None else near.union(edges)
+        large = member.where(f"not ({small})")
+        if depth == DEPTH or large.isEmpty():
             break
-        open_paths = member.where(f"n_node > {SMALL}").select("path", "class").join(joined.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        still = open_paths.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("path")
-        nodes = scratch.save(open_paths.join(still, "path", "left_semi").select("path", "class"))
-        if nodes.isEmpty():
-            break
-        nodes = children(nodes.join(lows, "class"))
-    return rows, joined
+        nodes = children(large.select("path", "class").join(classes.select("class", "low"), "class"))
+    families = scratch.save(components(near, scratch))
+    members = classes.join(families.withColumnRenamed("id", "class"), "class").join(families.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component")
+
+    def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["component", "n", "class", "code"]
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(list(text_sets(b.column("text"), k)), pa.list_(pa.int64()))], [*names, "elements"])
+
+    wanted = members.select(F.col("key").alias(key), "component", "n", "class", "code")
+    met = docs.select(key, "text").join(wanted, key).select("component", "n", "class", "code", "text").mapInArrow(set_rows, "component long, n long, class long, code binary, elements array<long>")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for t in runs(batches, ["component", "x", "y"]):
+            ids = t.column("class").to_numpy()
+            for i, j in linked_sets(t, alike, num, den):
+                a.append(ids[i])
+                b.append(ids[j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    found = blocks(met, "component", BLOCK).select("component", "x", "y", "class", "code", "elements").mapInArrow(compare, "a long, b long")
+    return rows.select("key", "doc_id", "n_shingles", "class"), scratch.save(components(found, scratch))
+
+
+def linked_sets(t: pa.Table, alike: int, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Edges that connect the sets of a block, rows (code, elements), by links confirmed on full sets."""
+    code = _codes(t)
+    column = t.column("elements").combine_chunks()
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    flat = np.unique(np.asarray(column.values), return_inverse=True)[1]
+    offsets, size = offsets - offsets[0], np.diff(offsets)
+    mark = np.zeros(flat.max() + 1 if len(flat) else 0, bool)
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        hit = (code[rest] == code[i]).sum(1) >= alike
+        hit &= np.minimum(size[rest], size[i]) * den >= np.maximum(size[rest], size[i]) * num
+        some = rest[hit]
+        if len(some):
+            own = flat[offsets[i] : offsets[i + 1]]
+            mark[own] = True
+            many = size[some]
+            first = np.cumsum(many) - many
+            at = np.arange(many.sum()) + np.repeat(offsets[some] - first, many)
+            shared = np.add.reduceat(mark[flat[at]].astype(np.int64), first)
+            mark[own] = False
+            hit[hit] = shared * (den + num) >= num * (many + size[i])
+        return hit
+
+    return forest(len(size), near)
 
 
 def document_components(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) -> DataFrame:

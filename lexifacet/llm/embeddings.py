@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, blocks, components, forest, runs
+from .words import mix
 
 THRESHOLD = 0.98
 BOUND = 5.5
@@ -72,21 +73,6 @@ def _matrix(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat[at[rows][:, None] + np.arange(d)]
 
 
-def _search(code: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Edges of a forest that connects the codes (rows of 64-bit words) within `most` bits of one another."""
-    rest = np.arange(1, len(code))
-    queue = [0]
-    while queue or len(rest):
-        if not queue:
-            queue, rest = [int(rest[0])], rest[1:]
-        i = queue.pop()
-        near = np.bitwise_count(code[rest] ^ code[i]).sum(1) <= most
-        for j in rest[near].tolist():
-            yield i, j
-            queue.append(j)
-        rest = rest[~near]
-
-
 def linked(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """vec_id, n_links, component_id, kept of each vector."""
     scratch = Scratch(vectors.sparkSession)
@@ -122,55 +108,40 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK,
                 for t in range(tables):
                     pick = np.random.default_rng([SEED, int(w), t]).choice(8 * w, bits, replace=False)
                     key[rows_of, t] = sign[:, pick].astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
-            from .words import mix
-
             key = mix(mix(key) ^ mix(label)[:, None] ^ np.arange(1, tables + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15))
             take = pa.array(np.repeat(np.arange(len(b)), tables))
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), b.column("class").take(take), b.column("code").take(take)], ["bucket", "class", "code"])
 
     places = scratch.save(classes.select("class", "label", "code").mapInArrow(buckets, "bucket long, class long, code binary"))
     full = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    spread = _blocks(places.join(full, "bucket"), "bucket", bucket)
+    spread = blocks(places.join(full, "bucket"), "bucket", bucket)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def edges(t: pa.Table) -> pa.RecordBatch:
-            keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "x", "y")])
-            cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0), [True]]))
+        a, b = [], []
+        for t in runs(batches, ["bucket", "x", "y"]):
             ids, code_of = t.column("class").to_numpy(), t.column("code").to_pylist()
-            a, b = [], []
-            for s, e in zip(cuts, cuts[1:]):
-                by: dict[int, list[int]] = {}
-                for i in range(s, e):
-                    by.setdefault(len(code_of[i]), []).append(i)
-                for w, own in by.items():
-                    code = np.frombuffer(b"".join(code_of[i] for i in own), np.uint64).reshape(len(own), w // 8)
-                    most = 8 * w * angle + 6 * math.sqrt(8 * w * angle * (1 - angle)) + 2
-                    for i, j in _search(code, int(most)):
-                        a.append(ids[own[i]])
-                        b.append(ids[own[j]])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            keys = np.stack([held.column(c).to_numpy() for c in ("bucket", "x", "y")])
-            change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0))
-            if len(change):
-                yield edges(held.slice(0, change[-1] + 1))
-                held = held.slice(change[-1] + 1)
-        if held is not None and held.num_rows:
-            yield edges(held)
-
-    near = spread.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").select("bucket", "x", "y", "class", "code").mapInArrow(search, "a long, b long")
+            by: dict[int, list[int]] = {}
+            for i, c in enumerate(code_of):
+                by.setdefault(len(c), []).append(i)
+            for w, own in by.items():
+                code = np.frombuffer(b"".join(code_of[i] for i in own), np.uint64).reshape(len(own), w // 8)
+                most = int(8 * w * angle + 6 * math.sqrt(8 * w * angle * (1 - angle)) + 2)
+                for i, j in forest(len(own), lambda i, rest, code=code, most=most: np.bitwise_count(code[rest] ^ code[i]).sum(1) <= most):
+                    a.append(ids[own[i]])
+                    b.append(ids[own[j]])
+            if len(a) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    near = spread.select("bucket", "x", "y", "class", "code").mapInArrow(search, "a long, b long")
     groups = scratch.save(components(near, scratch))
     members = classes.join(groups.withColumnRenamed("id", "class"), "class")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    spread = _blocks(members.join(sizes, "component"), "component", block)
+    spread = blocks(members.join(sizes, "component"), "component", block)
 
-    def compare(keys: tuple, t: pa.Table) -> pa.Table:
-        x, y = keys[1].as_py(), keys[2].as_py()
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
         ids, sub, copies_of = t.column("class").to_numpy(), t.column("sub").to_numpy(), t.column("copies").to_numpy()
         links, a, b = np.zeros(len(ids), np.int64), [], []
         code_of, factor = t.column("code").to_pylist(), t.column("factor").to_numpy()
@@ -205,9 +176,13 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK,
             if (new == root).all():
                 break
             root = new
-        return pa.table({"class": ids, "links": links, "to": ids[root]})
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(ids[root])], ["class", "links", "to"])
 
-    found = scratch.save(spread.select("component", "x", "y", "sub", "class", "copies", "embedding", "code", "factor").groupBy("component", "x", "y").applyInArrow(compare, "class long, links long, to long"))
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["component", "x", "y"]):
+            yield compare(t)
+
+    found = scratch.save(spread.select("component", "x", "y", "sub", "class", "copies", "embedding", "code", "factor").mapInArrow(compared, "class long, links long, to long"))
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))
     joined = components(found.where("class != to").select(F.col("class").alias("a"), F.col("to").alias("b")), scratch)
     named = classes.select("class", "copies", "least").join(counts, "class", "left").join(joined.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -217,9 +192,3 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK,
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
-
-def _blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """rows (with n, the size of their group) once for each pair (x, y) of their group's blocks that holds their own, `sub`."""
-    rows = rows.withColumn("parts", F.expr(f"cast(ceil(n / {most}) as int)")).withColumn("sub", F.expr("cast(pmod(xxhash64(class), parts) as int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    return rows.withColumn("x", F.least("sub", "other")).withColumn("y", F.greatest("sub", "other")).drop("other", "parts", "n")

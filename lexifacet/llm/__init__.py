@@ -1,8 +1 @@
 """Operators for preparing training data. Nothing else in the library imports this subpackage."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions of this package travel to the executors by value, so that workers need not have it on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

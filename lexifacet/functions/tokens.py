@@ -27,6 +27,10 @@ def _matches(t: Column, include: tuple[str, ...] | None, exclude: tuple[str, ...
     return test & ~F.coalesce(t["type"].isin(*exclude), F.lit(False)) if exclude else test
 
 
+def _of_type(kind: str) -> Callable[[Column], Column]:
+    return lambda t: t["type"] == kind
+
+
 def split(tokens: Column, output_type: str, include: tuple[str, ...] | None = None, exclude: tuple[str, ...] = (), rename: str | None = None, delegate: Callable[[Column], Column] = lambda c: c) -> Column:
     """Matching tokens (renamed) are followed by a copy of output_type at the same position, its term through the delegate."""
 
@@ -70,7 +74,7 @@ def join(tokens: Column, input_types: tuple[str, ...], output_type: str, delim:
     def merge(group: Column) -> Column:
         part = F.filter(group, lambda t: F.coalesce(t["type"].isin(*input_types), F.lit(False)))
         rest = group if output_components else F.filter(group, lambda t: ~F.coalesce(t["type"].isin(*input_types), F.lit(False)))
-        slots = [F.get(F.reverse(F.filter(part, lambda t, k=k: t["type"] == k)), F.lit(0))["term"] for k in input_types]
+        slots = [F.get(F.reverse(F.filter(part, _of_type(k))), F.lit(0))["term"] for k in input_types]
         term = F.concat_ws(delim, *[F.coalesce(s, F.lit("")) for s in slots]) if placeholders else F.concat_ws(delim, *slots)
         pay = F.get(F.filter(part, lambda t: (t["type"] == F.lit(payload_type)) & t["payload"].isNotNull()), F.lit(0))["payload"] if payload_type else F.lit(None)
         step = F.get(group, F.lit(0))["pos_inc"]

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, prefix_sums, row_key
+from .common import Scratch, free_name, prefix_sums, row_key
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Cells of a size class; with about 16 classes a doubling they split any source.
@@ -57,6 +57,7 @@ def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     """
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), F.col("source"))).alias("source_key")
     columns = rows.columns
+    rows = Scratch(rows.sparkSession).save(rows)  # the words are counted once
     rows = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).select("*", key)
     of_source = targets(rows.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
     bits = F.length(F.bin("size")).cast("int")

@@ -58,8 +58,9 @@ class Scratch:
 
 
 def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row; equal rows have equal keys."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    """A 64-bit key of a row; equal rows have equal keys. Which columns are null counts, as the hash itself skips nulls."""
+    quoted = [F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(*quoted, F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in quoted]))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -9,8 +9,9 @@ whose upper bound reaches the threshold are recomputed exactly in double
 precision; others are passed over.
 
 Equal vectors of a label are one class with a count. Classes meet in buckets
-of equal code bits, in as many tables as make a miss at the threshold rarer
-than one in a million; within a bucket the codes at a small distance are
+of equal code bits, in as many tables as would make a miss at the threshold
+rarer than one in a million if tables were independent (they share code bits,
+so expect about one in ten thousand); within a bucket the codes at a small distance are
 connected by a search that gives at most n - 1 edges. The components of these
 are compared throughout, in blocks of BLOCK classes, so each vector moves once
 unless its component is larger than a block, and no task holds a whole group.

@@ -1,31 +1,34 @@
 """License notices in whole texts by conditional compression.
 
-Candidate blocks are runs of lines that hold a cue. A block is compressed
-alone and with each template as a raw zstandard dictionary; templates are
-ranked by the bytes saved. The winner is confirmed by aligning its words with
-those at the block: at least COVER of the template's words must be there in
-order, and the words that differ are returned; a notice without any is exact.
-Several notices of a block are found one after another.
+Candidate blocks are runs of lines that hold a cue. In a block every template
+is looked for at every word: where a window holds enough of its words, the
+longest common subsequence decides, and at least COVER of the template's words
+must be there in order. What is found is compressed alone and with its template
+as a raw zstandard dictionary. Of those that overlap the one with the least
+share of differing words stays, then that of the longest template, then that
+with the most bytes saved: ranks order the work and exclude no template. A
+notice without differing words is exact.
 
 Null and empty texts have no notice. Rows that repeat give the same rows again.
 Positions count code points, ends are exclusive. An empty table gives an empty
-one. Texts are read whole; a block's work is bounded by its length.
+one. Texts are read whole; work grows in proportion to a block's length.
 """
 
 from __future__ import annotations
 
 import difflib
+import heapq
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COVER = 0.8
-#: Templates tried by alignment for each stretch of a block.
-BEST = 4
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -61,15 +64,50 @@ class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.templates = []
+        self.code: dict[str, int] = {}
         for name, text in templates:
             d = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, [_plain(w) for w in text.split()], zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False)))
-
-    def ranked(self, block: str) -> list[tuple[int, str, list[str]]]:
-        """(bytes saved, name, words) of each template, most saved first; ties to the longer template."""
-        b = block.encode()
-        size = len(self.alone.compress(b))
-        return sorted(((size - len(c.compress(b)), name, words) for name, words, c in self.templates), key=lambda x: (-x[0], -len(x[2]), x[1]))
+            want = [_plain(w) for w in text.split()]
+            mask: dict[int, int] = {}  # bit p: the template's word p
+            for p, w in enumerate(want):
+                c = self.code.setdefault(w, len(self.code))
+                mask[c] = mask.get(c, 0) | 1 << p
+            self.templates.append((name, want, mask, zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False)))
+        #: Words a notice may span, and words of the template it must hold.
+        self.width = [len(t[1]) + 2 * (len(t[1]) // 4) for t in self.templates]
+        self.need = [math.ceil(COVER * len(t[1])) for t in self.templates]
+        self.member = np.zeros((len(self.code) + 1, len(self.templates)), np.int32)  # the last row: no template's word
+        for k, t in enumerate(self.templates):
+            self.member[list(t[2]), k] = 1
+
+    def saved(self, k: int, own: str) -> int:
+        """Bytes that template k saves as a dictionary."""
+        b = own.encode("utf-8", "replace")
+        return len(self.alone.compress(b)) - len(self.templates[k][3].compress(b))
+
+    def places(self, words: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """(template, start, end, words in order) of each stretch that holds enough of a template.
+
+        For each start and number of words, the least end.
+        """
+        n = len(words)
+        code = np.array([self.code.get(w, -1) for w in words], np.int64)
+        run = np.zeros((n + 1, len(self.templates)), np.int32)
+        np.cumsum(self.member[code], axis=0, out=run[1:])
+        for k, (_, want, mask, _) in enumerate(self.templates):
+            width, need, full = self.width[k], self.need[k], (1 << len(want)) - 1
+            held = run[np.minimum(np.arange(n) + width, n), k] - run[:-1, k]
+            for s in np.flatnonzero((held >= need) & (self.member[code, k] > 0)).tolist():
+                v, most = full, need - 1  # the zeros of v count the longest common subsequence so far
+                for e in range(s, min(s + width, n)):
+                    m = mask.get(int(code[e]))
+                    if m:
+                        u = v & m
+                        v = ((v + u) | (v - u)) & full
+                        same = len(want) - v.bit_count()
+                        if same > most:
+                            most = same
+                            yield k, s, e + 1, same
 
     def scan(self, text: str) -> list[tuple[str, int, int, int, int, str]]:
         """(license, start, end, bytes saved, words that differ, differences) of each notice."""
@@ -94,35 +132,26 @@ class Scanner:
     def _notices(self, text: str, a: int, z: int) -> list[tuple[str, int, int, int, int, str]]:
         spans = [(m.start() + a, m.end() + a) for m in _WORD.finditer(text[a:z])]
         words = [_plain(text[s:e]) for s, e in spans]
-        free, found = [(0, len(words))], []
-        while free:
-            i, j = free.pop()
-            if j - i < 3 or not _CUE.search(text[spans[i][0] : spans[j - 1][1]]):
+        # at first with the least number of words that can differ; what comes up is aligned and goes back with its rank
+        queue = []
+        for k, s, e, same in self.places(words):
+            name, want = self.templates[k][:2]
+            queue.append(((max(len(want), e - s) - same) / len(want), -len(want), -math.inf, name, s, e, k, ()))
+        heapq.heapify(queue)
+        free, found = np.ones(len(words), bool), []
+        while queue:
+            _, _, saved, name, s, e, k, aligned = heapq.heappop(queue)
+            if not free[s:e].all():
+                continue
+            if aligned:
+                free[s:e] = False
+                found.append((name, spans[s][0], spans[e - 1][1], -saved, *aligned))
                 continue
-            best = None
-            for saved, name, want in self.ranked(text[spans[i][0] : spans[j - 1][1]])[:BEST]:
-                m = difflib.SequenceMatcher(None, want, words[i:j], autojunk=False)
-                # the window that holds the longest common run, as wide as the template and a quarter
-                run = m.find_longest_match()
-                if not run.size:
-                    continue
-                low = max(0, run.b - run.a - len(want) // 4)
-                high = min(j - i, run.b - run.a + len(want) + len(want) // 4)
-                pieces = [p for p in difflib.SequenceMatcher(None, want, words[i + low : i + high], autojunk=False).get_matching_blocks() if p.size]
-                same = sum(p.size for p in pieces)
-                if same < COVER * len(want):
-                    continue
-                s, e = i + low + pieces[0].b, i + low + pieces[-1].b + pieces[-1].size
-                own = words[s:e]
-                ops = [(t, want[p:q], own[u:v]) for t, p, q, u, v in difflib.SequenceMatcher(None, want, own, autojunk=False).get_opcodes() if t != "equal"]
-                differ = sum(max(len(x), len(y)) for _, x, y in ops)
-                rank = (differ / len(want), -len(want), -saved, name)
-                if best is None or rank < best[0]:
-                    best = rank, name, s, e, saved, differ, "; ".join(f"{' '.join(x)} -> {' '.join(y)}" for _, x, y in ops)
-            if best:
-                _, name, s, e, saved, differ, how = best
-                found.append((name, spans[s][0], spans[e - 1][1], saved, differ, how))
-                free += [(i, s), (e, j)]
+            want, own = self.templates[k][1], words[s:e]
+            ops = [(t, want[p:q], own[u:v]) for t, p, q, u, v in difflib.SequenceMatcher(None, want, own, autojunk=False).get_opcodes() if t != "equal"]
+            differ = sum(max(len(x), len(y)) for _, x, y in ops)
+            how = "; ".join(f"{' '.join(x)} -> {' '.join(y)}" for _, x, y in ops)
+            heapq.heappush(queue, (differ / len(want), -len(want), -self.saved(k, text[spans[s][0] : spans[e - 1][1]]), name, s, e, k, (differ, how)))
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 

@@ -248,6 +248,25 @@ def test_licenses(spark, docs, none):
     assert [(n[0], n[4] > 0) for n in near] == [("MIT", True)] and licenses.scan(none).count() == 0 and licenses.scan(docs).count() == 0
 
 
+@pytest.mark.parametrize("size", [1_000, 100_000, 1_000_000])
+def test_license_in_a_long_line(size):
+    """Every template, exact and with a word changed, in the middle of one long line."""
+    rng = np.random.default_rng(size)
+    stock = PROSE.split() * 40 + ["".join(rng.choice(list("etaoinshrdlucm"), n)) for n in rng.integers(2, 10, 3000)]
+    prose = " ".join(rng.choice(stock, size // 12)) + " "
+    for name, text in licenses.TEMPLATES if size < 1_000_000 else licenses.TEMPLATES[::5]:
+        got = licenses.Scanner().scan(prose + text + " " + prose)
+        assert [(r[0], r[1], r[2], r[4]) for r in got] == [(name, len(prose), len(prose) + len(text), 0)] and got[0][3] > 0
+    changed = licenses.TEMPLATES[2][1].replace("hereby granted", "herewith given")
+    got = licenses.Scanner().scan(f"{prose}license {PROSE}{changed} {prose}")
+    assert [(r[0], r[4], r[5]) for r in got] == [("MIT-text", 2, "hereby granted -> herewith given")]
+
+
+def test_license_where_a_longer_run_is_elsewhere():
+    got = licenses.Scanner().scan("Released under the moon without any fee at all, then came more words; and it was Released beneath the MIT License. All rights reserved. All rights reserved.")
+    assert [(r[0], r[4]) for r in got] == [("MIT", 1), ("proprietary", 0), ("proprietary", 0)]
+
+
 def test_pipeline(spark):
     names = ["quality_classifier", "minhash_near_dedup", "benchmark_decontamination", "mixing", "sharding"]
     assert [n for n, _ in corpus_pipeline.STAGES] == names

@@ -1,7 +1,8 @@
 """License notices in whole texts by conditional compression.
 
-Candidate blocks are runs of lines that hold a cue. In a block every template
-is looked for at every word: where a window holds enough of its words, the
+Candidate blocks are the words around each cue, on either side as many as the
+longest notice may span, across line ends; those that overlap are one block. In
+a block every template is looked for at every word: where a window holds enough of its words, the
 longest common subsequence decides, and at least COVER of the template's words
 must be there in order. What is found is compressed alone and with its template
 as a raw zstandard dictionary. Of those that overlap the one with the least
@@ -16,6 +17,7 @@ one. Texts are read whole; work grows in proportion to a block's length.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import heapq
 import math
@@ -49,7 +51,8 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
 )
-CUES = r"(?i)licen[sc]e|copyright|all rights reserved|redistribution|permission (is|to use)|public domain|creative commons|\bCC0?[ -](BY|1)|SPDX-"
+#: The words of a cue may stand apart by anything but ASCII letters and digits: line ends, comment marks.
+CUES = r"(?i)licen[sc]e|copyright|all_rights_reserved|redistribution|permission_(is|to_use)|public_domain|creative_commons|\bCC0?_(BY|1)|SPDX-".replace("_", "[^A-Za-z0-9]+")
 _CUE = re.compile(CUES)
 _WORD = re.compile(r"[^\s]+")
 
@@ -114,23 +117,21 @@ class Scanner:
         out = []
         if not text or not _CUE.search(text):
             return out
-        begin = end = None
-        blocks, at = [], 0
-        for line in text.splitlines(keepends=True):
-            if _CUE.search(line):
-                begin, end = (at if begin is None else begin), at + len(line)
-            elif begin is not None:
-                blocks.append((begin, end))
-                begin = None
-            at += len(line)
-        if begin is not None:
-            blocks.append((begin, end))
-        for a, z in blocks:
-            out += self._notices(text, a, z)
+        spans = [m.span() for m in _WORD.finditer(text)]
+        starts, ends = [s for s, _ in spans], [e for _, e in spans]
+        blocks: list[list[int]] = []
+        for m in _CUE.finditer(text):
+            i = max(0, bisect.bisect_right(ends, m.start()) - max(self.width))
+            j = min(len(spans), bisect.bisect_left(starts, m.end()) + max(self.width))
+            if blocks and i <= blocks[-1][1]:
+                blocks[-1][1] = j
+            else:
+                blocks.append([i, j])
+        for i, j in blocks:
+            out += self._notices(text, spans[i:j])
         return out
 
-    def _notices(self, text: str, a: int, z: int) -> list[tuple[str, int, int, int, int, str]]:
-        spans = [(m.start() + a, m.end() + a) for m in _WORD.finditer(text[a:z])]
+    def _notices(self, text: str, spans: list[tuple[int, int]]) -> list[tuple[str, int, int, int, int, str]]:
         words = [_plain(text[s:e]) for s, e in spans]
         # at first with the least number of words that can differ; what comes up is aligned and goes back with its rank
         queue = []

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -267,6 +268,22 @@ def test_license_where_a_longer_run_is_elsewhere():
     assert [(r[0], r[4]) for r in got] == [("MIT", 1), ("proprietary", 0), ("proprietary", 0)]
 
 
+def test_wrapped_licenses(spark):
+    """Every template at several widths, between lines without cues, reaches Python and is found whole."""
+    rows, want = [], []
+    for name, text in licenses.TEMPLATES:
+        for width in (1, 20, 40, 60, 72, 79):
+            wrapped = "\r\n".join(textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+            want.append((len(rows), name, len("Some words.\n\n"), len("Some words.\n\n" + wrapped), True))
+            rows.append((len(rows), f"Some words.\n\n{wrapped}\n\nMore words."))
+    rows.append((len(rows), "/*\n * Permission\n * to use, copy, modify, and distribute this software for any purpose\n * with or without fee is hereby granted.\n */"))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "start").collect()
+    assert [(r["doc_id"], r["license"], r["start"], r["end"], r["exact"]) for r in got[:-1]] == want
+    assert (got[-1]["doc_id"], got[-1]["license"], got[-1]["differing_words"]) == (len(want), "ISC", 2)
+    text = "Licensed under the Apache License,\nVersion 2.0."
+    assert [r[:3] for r in licenses.Scanner().scan(text)] == [("Apache-2.0", 0, len(text))]
+
+
 def test_pipeline(spark):
     names = ["quality_classifier", "minhash_near_dedup", "benchmark_decontamination", "mixing", "sharding"]
     assert [n for n, _ in corpus_pipeline.STAGES] == names

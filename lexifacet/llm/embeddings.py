@@ -9,10 +9,10 @@ whose upper bound reaches the threshold are recomputed exactly in double
 precision; others are passed over.
 
 Equal vectors of a label are one class with a count. Classes meet in buckets
-of equal code bits, in as many tables as would make a miss at the threshold
-rarer than one in a million if tables were independent (they share code bits,
-so expect about one in ten thousand); within a bucket the codes at a small distance are
-connected by a search that gives at most n - 1 edges. The components of these
+of equal signs at random hyperplanes, drawn afresh for each table so that
+tables are independent, in as many tables as make a miss at the threshold rarer
+than one in a million whatever the number of classes; within a bucket the codes
+at a small distance are connected by a search that gives at most n - 1 edges. The components of these
 are compared throughout, in blocks of BLOCK classes, so each vector moves once
 unless its component is larger than a block, and no task holds a whole group.
 
@@ -63,6 +63,14 @@ def tables_for(classes: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return bits, math.ceil(math.log(1e-6) / math.log(1 - alike))
 
 
+def bucket_keys(x: np.ndarray, bits: int, tables: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """For each table the signs of each vector at `bits` hyperplanes of its own."""
+    power = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+    for t in range(tables):
+        planes = np.random.default_rng([seed, x.shape[1], t]).standard_normal((x.shape[1], bits))
+        yield (x @ planes > 0).astype(np.uint64) @ power
+
+
 def _matrix(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, matrix) for each length of vectors."""
     if isinstance(column, pa.ChunkedArray):
@@ -99,21 +107,16 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK,
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes_of = b.column("code").to_pylist()
             label = b.column("label").to_numpy().view(np.uint64)
             key = np.zeros((len(b), tables), np.uint64)
-            width = np.array([len(c) for c in codes_of])
-            for w in np.unique(width):
-                rows_of = np.flatnonzero(width == w)
-                sign = np.unpackbits(np.frombuffer(b"".join(codes_of[i] for i in rows_of), np.uint8).reshape(len(rows_of), w), axis=1)
-                for t in range(tables):
-                    pick = np.random.default_rng([SEED, int(w), t]).choice(8 * w, bits, replace=False)
-                    key[rows_of, t] = sign[:, pick].astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+            for at, x in _matrix(b.column("embedding")):
+                for t, own in enumerate(bucket_keys(x / np.abs(x).max(1, keepdims=True), bits, tables)):
+                    key[at, t] = own
             key = mix(mix(key) ^ mix(label)[:, None] ^ np.arange(1, tables + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15))
             take = pa.array(np.repeat(np.arange(len(b)), tables))
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), b.column("class").take(take), b.column("code").take(take)], ["bucket", "class", "code"])
 
-    places = scratch.save(classes.select("class", "label", "code").mapInArrow(buckets, "bucket long, class long, code binary"))
+    places = scratch.save(classes.select("class", "label", "embedding", "code").mapInArrow(buckets, "bucket long, class long, code binary"))
     full = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     spread = blocks(places.join(full, "bucket"), "bucket", bucket)
 

@@ -152,6 +152,20 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.linked(df.limit(0)).count() == 0
 
 
+def test_isolated_pairs_at_the_threshold(spark, monkeypatch):
+    """With the bits and tables of ten million classes, no pair at the threshold without other neighbours is missed."""
+    many = embeddings.tables_for
+    monkeypatch.setattr(embeddings, "tables_for", lambda classes, threshold: many(10_000_000, threshold))
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(2, 2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.980001 * x + math.sqrt(1 - 0.980001**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(2 * i + k, v[i].tolist(), 0) for i in range(len(x)) for k, v in enumerate((x, y))]
+    got = embeddings.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(r["n_links"] != 1 or r["component_id"] != r["vec_id"] // 2 * 2 for r in got) == 0 and len(got) == len(rows)
+
+
 def test_codes_estimate_without_bias():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 64))

@@ -5,13 +5,15 @@ of SEED words that a document and an item share are joined; for each pair that
 could reach the threshold, the longest match of unmarked words, at least SEED
 long, is marked again and again (tiles), in whatever order the passages lie.
 A pair whose tiles cover at least COVER of the item's words is contaminated.
+An item of fewer than SEED words is one seed, and only a document that holds it
+whole, word after word, is contaminated by it.
 
 Documents pass a bitmap of the items' seeds first. It has a fixed size, so it
 can be broadcast whatever the benchmark's; what it lets through by chance
 finds no partner in the join. Only the stretches of words around seeds are
 shuffled, never texts.
 
-Null and empty texts match nothing, nor does an item of fewer than SEED words.
+Null and empty texts, and those without a word, match nothing.
 Rows that repeat throughout count once. Empty tables give an empty one.
 """
 
@@ -80,7 +82,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: Column, scratch: Scratc
             data, offsets = utf8(b.column("text"))
             for lo, hi in chunks(offsets):
                 w = Words(data, offsets, lo, hi, APART)
-                h, text, _ = w.shingles(seed, short=False)
+                h, text, _ = w.shingles(seed)
                 take = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays([b.column("item").take(take), pa.array(np.diff(w.first)[text].astype(np.int64)), pa.array(h.view(np.int64))], ["item", "item_words", "seed"])
 
@@ -88,6 +90,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: Column, scratch: Scratc
     item = scratch.save(item)
     seed_table = scratch.save(item.mapInArrow(seeds, "item long, item_words long, seed long"))
 
+    # what of a document is looked up: runs of `seed` words, and of as many as a shorter item has
+    lengths = [seed, *sorted(r["item_words"] for r in seed_table.where(F.col("item_words") < seed).select("item_words").distinct().collect())]
+
     def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << BITS, bool)
         for b in batches:
@@ -111,18 +116,24 @@ def contaminated(docs: DataFrame, items: DataFrame, key: Column, scratch: Scratc
             row, parts, hits = [], [], []
             for lo, hi in chunks(offsets):
                 w = Words(data, offsets, lo, hi, APART)
-                h, text, word = w.shingles(seed, short=False)
-                first, second = _probes(h)
-                at = np.flatnonzero(inside(first))
-                at = at[inside(second[at])]
-                low = LOWER[w.bytes].tobytes() if len(at) else b""
-                cuts = np.flatnonzero(np.concatenate([[True], text[at][1:] != text[at][:-1]])) if len(at) else []
-                for x, z in zip(cuts, [*cuts[1:], len(at)]):
-                    own = word[at[x:z]]
-                    new = np.flatnonzero(np.concatenate([[True], own[1:] > own[:-1] + seed]))
-                    row.append(lo + int(text[at[x]]))
-                    parts.append([" ".join(low[w.start[i] : w.end[i]].decode("utf-8", "replace") for i in range(own[p], own[q - 1] + seed)) for p, q in zip(new, [*new[1:], z - x])])
-                    hits.append(np.unique(h[at[x:z]]).view(np.int64))
+                met = []
+                for n in lengths:
+                    h, text, word = w.shingles(n, short=False)
+                    first, second = _probes(h)
+                    at = np.flatnonzero(inside(first))
+                    at = at[inside(second[at])]
+                    met.append((h[at], text[at], word[at], word[at] + n))
+                h, text, word, end = (np.concatenate(x) for x in zip(*met))
+                order = np.argsort(word, kind="stable")  # words of a chunk are in the order of its texts
+                h, text, word, end = h[order], text[order], word[order], end[order]
+                low = LOWER[w.bytes].tobytes() if len(h) else b""
+                cuts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(h) else []
+                for x, z in zip(cuts, [*cuts[1:], len(h)]):
+                    own, reach = word[x:z], np.maximum.accumulate(end[x:z])
+                    new = np.flatnonzero(np.concatenate([[True], own[1:] > reach[:-1]]))
+                    row.append(lo + int(text[x]))
+                    parts.append([" ".join(low[w.start[i] : w.end[i]].decode("utf-8", "replace") for i in range(own[p], reach[q - 1])) for p, q in zip(new, [*new[1:], z - x])])
+                    hits.append(np.unique(h[x:z]).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(row, pa.int64())), b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(parts, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.int64()))], ["k", "doc_id", "parts", "seeds"])
 
     near = docs.select(key.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(stretches, "k long, doc_id long, parts array<string>, seeds array<long>")
@@ -139,9 +150,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: Column, scratch: Scratc
                 w = Words(data, offsets, i, i + 1, APART)
                 low = LOWER[w.bytes].tobytes()
                 words = [low[s:e].decode("utf-8", "replace") for s, e in zip(w.start, w.end)]
-                covered.append(sum(t[2] for t in tiles(words, [p.split(" ") for p in parts], seed)))
+                covered.append(sum(t[2] for t in tiles(words, [p.split(" ") for p in parts], min(seed, len(words)))))
                 size.append(len(words))
-            keep = pa.array([c >= math.ceil(cover * n) for c, n in zip(covered, size)], pa.bool_())
+            keep = pa.array([c >= (math.ceil(cover * n) if n >= seed else n) for c, n in zip(covered, size)], pa.bool_())
             rows = pa.RecordBatch.from_arrays([b.column("k"), b.column("doc_id"), b.column("item_id"), pa.array(covered, pa.int64()), pa.array(size, pa.int64()), pa.array([c / n for c, n in zip(covered, size)], pa.float64())], ["k", "doc_id", "item_id", "covered", "item_words", "coverage"])
             yield rows.filter(keep)
 

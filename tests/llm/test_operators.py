@@ -123,6 +123,17 @@ def test_decontamination(spark, docs, none, items):
     assert decontam.report(none, items).count() == 0 and decontam.report(docs, items.limit(0)).count() == 0
 
 
+def test_short_benchmark_items(spark):
+    """Items of one to four words match the documents that hold them whole, and change nothing for longer ones."""
+    texts = ["Forty-two", "the answer: forty two!", "forty x two", "a b c d", "z A, b c d e", "b c d", "solitaire", "solitaires", ITEM + " solitaire", "", None, "forty", "two forty two forty"]
+    short = [(1, "forty two"), (2, "a b c d"), (3, "Solitaire."), (4, "..."), (5, ""), (6, "x y z"), (7, ITEM)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame(short, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["covered"], r["item_words"], r["coverage"]) for r in decontam.report(d, b).collect())
+    assert got == [(0, 1, 2, 2, 1.0), (1, 1, 2, 2, 1.0), (3, 2, 4, 4, 1.0), (4, 2, 4, 4, 1.0), (6, 3, 1, 1, 1.0), (8, 3, 1, 1, 1.0), (8, 7, 20, 20, 1.0), (12, 1, 2, 2, 1.0)]
+    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(d, b).collect()) == [2, 5, 7, 9, 10, 11]
+
+
 def test_tiles_are_greedy():
     item = "a b c d e f g h i j".split()
     assert sorted(decontam.tiles(item, ["f g h i j".split(), "x a b c d e".split()], 5)) == [(0, 7, 5), (5, 0, 5)]

@@ -112,7 +112,7 @@ def train(x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 120, pairs
     """The model from features (rows, features) and labels 0/1. One class, or no row, gives a constant score."""
     n, f = x.shape
     share = (y.sum() + 1) / (n + 2) if n else 0.5
-    model = {"base": float(np.log(share / (1 - share))), "edges": [], "tables": [], "pairs": []}
+    model = {"base": float(np.log(share / (1 - share))), "bad": int(n - y.sum()), "edges": [], "tables": [], "pairs": []}
     for i in range(f):
         model["edges"].append(np.unique(np.quantile(x[:, i], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) if n else np.zeros(0))
         model["tables"].append(np.zeros(len(model["edges"][i]) + 1))
@@ -205,7 +205,13 @@ def score_texts(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: dict) -> DataFrame:
-    """The documents that the classifier predicts 1, all columns as they are; no shuffle."""
+    """The documents that the classifier predicts 1, all columns as they are; no shuffle.
+
+    A model that learnt from no label, or from none that is bad, has nothing to
+    reject by: all documents are kept, though its constant score may be below THRESHOLD.
+    """
+    if not model["bad"]:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

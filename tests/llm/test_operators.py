@@ -257,6 +257,19 @@ def test_quality(spark, docs, none):
     assert len({r["score"] for r in quality.score_texts(docs, flat).collect()}) == 1
 
 
+def test_without_a_bad_label_all_are_kept(spark, tmp_path):
+    d, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    good = labels.where((F.col("quality") == 1) & ~quality.held_out()).limit(1)
+    for few in (labels.limit(0), labels.where(quality.held_out()), labels.withColumn("quality", F.lit(None).cast("int")), good):
+        assert quality.keep_good(d, quality.fit(d, few)).count() == d.count()
+    bad = labels.where((F.col("quality") == 0) & ~quality.held_out()).limit(5)
+    assert quality.keep_good(d, quality.fit(d, bad)).count() == 0
+    for t in ("documents", "benchmark"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SMALL}/{t}.parquet")
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_pairs_of_features_are_learnt():
     rng = np.random.default_rng(2)
     x = rng.random((4000, 4)).astype(np.float32)

@@ -164,6 +164,9 @@ def label_texts(model: dict, column: pa.Array, spans: bool = False) -> tuple[lis
         part = data[offsets[i] : offsets[i + 1]]
         if not ((part >= 65) & (part <= 90) | (part >= 97) & (part <= 122)).any() and not any(c.isalpha() for c in part.tobytes().decode("utf-8", "replace")):
             names[i], score[i] = "und", 0.0
+            pred[i] = -1
+    if spans:
+        found = [f if p >= 0 else [] for f, p in zip(found, pred)]
     return names, score, found if spans else None
 
 
@@ -188,16 +191,26 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     return learn((r["text"], r["lang"]) for r in picked.collect())
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each document."""
+def _points(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
+    """The spans with code points in place of bytes."""
+    ahead = np.concatenate([[0], np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)])  # code points that begin before a byte
+    return [{"start": int(ahead[s]), "end": int(ahead[e]), "lang": lang} for s, e, lang in spans]
+
+
+def identify(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each document; with `spans`, its spans too (start and exclusive end in code points, lang), none for `und`."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if model["langs"]:
-                names, score, _ = label_texts(model, b.column("text"))
+                names, score, found = label_texts(model, b.column("text"), spans)
             else:
-                names, score = ["und"] * len(b), np.zeros(len(b))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                names, score, found = ["und"] * len(b), np.zeros(len(b)), [[]] * len(b)
+            columns = {"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(score, pa.float64())}
+            if spans:
+                columns["spans"] = pa.array([_points(t, f) if f else [] for t, f in zip(b.column("text").to_pylist(), found)], kind)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text"))
-    return slim.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return slim.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + ", spans array<struct<start: long, `end`: long, lang: string>>" * spans)

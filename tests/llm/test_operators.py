@@ -222,6 +222,20 @@ def test_language(spark, docs, none):
     assert [s[2] for s in spans] == ["de", "fr"]
 
 
+def test_language_spans_of_documents(spark):
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.fit(d)
+    de, fr = ("der die das und nicht einer schlicht werden für über " * 6), ("que les dans une être été pour avec leur même où " * 6)
+    texts = [de + fr, None, "", "12345 !!!", "€ € ™", fr]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = langid.identify(t, model, spans=True).orderBy("doc_id").collect()
+    parts = [[(texts[r["doc_id"]][s["start"] : s["end"]], s["lang"]) for s in r["spans"]] for r in got]
+    assert parts == [[(de.strip(), "de"), (fr.strip(), "fr")], [], [], [], [], [(fr.strip(), "fr")]]
+    plain = langid.identify(t, model).orderBy("doc_id")
+    assert plain.columns == ["doc_id", "held_out", "lang_pred", "score"] and [tuple(r) for r in plain.collect()] == [tuple(r)[:4] for r in got]
+    assert [r["spans"] for r in langid.identify(t, langid.learn(iter([])), spans=True).collect()] == [[]] * 6
+
+
 def test_pii(docs, none):
     model = pii.train()
     texts = ["a.b@c.d@e.f x@y", "999.1.1.1 1.2.3.4.5 8.8.8.8", "4111 1111 1111 1111 and 4111111111111112 1-2", "+1 (555) 555-1234 +1234 +1 555", "é +49 30 1234567 é a@b.co", "@.@..", "1" * 5000 + "." + "2" * 5000, "a" * 20000 + "@" + "b." * 3000 + "c", "+1 (386) 555-3733 4111111111111111 x"]

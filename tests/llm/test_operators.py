@@ -199,6 +199,46 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), urls.train()).count() == 0
 
 
+def test_url_labels_are_not_those_of_the_table(spark):
+    """The labelled table shares with `pages` no label but heads, tails and the like; what it doesn't hold is judged by its n-grams."""
+    labels = lambda hosts: {x for h in hosts for x in h.split(".")}
+    judged = urls.judge(spark.read.parquet(f"{SMALL.replace('sf0.001', 'sf0.1')}/pages.parquet"), urls.train()).select("host").distinct().collect()
+    own = urls.labelled()
+    common = {x for h in (*urls._HEADS, *urls._TAILS) for x in h.split(".")}
+    assert labels(r["host"] for r in judged) & labels(r[0] for r in own) <= common
+
+
+def test_url_names_left_out_of_training():
+    """Five folds by name: no name is in training and test."""
+    rows = urls.labelled()
+    fold = dict(zip(sorted({(r[2], r[3]) for r in rows}), np.random.default_rng(1).integers(0, 5, len(rows)).tolist()))
+    said, truth = [], []
+    for f in range(5):
+        w = urls.train([r for r in rows if fold[r[2], r[3]] != f])
+        test = [r for r in rows if fold[r[2], r[3]] == f]
+        said += (urls.probability(w, [r[0] for r in test], [r[1] for r in test]) >= 0.5).tolist()
+        truth += [r[2] == 1 for r in test]
+    said, truth = np.array(said), np.array(truth)
+    assert (said & truth).sum() / truth.sum() > 0.8 and (said & truth).sum() / said.sum() > 0.94 and (said & ~truth).sum() / (~truth).sum() < 0.02
+
+
+def test_urls_against_brute_force(spark):
+    """Host, path and rule of the query on every url, by plain Python; where no rule fits, the verdict is the model's."""
+    weights = urls.train()
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url")
+    odd = [(-1, "HTTP://NET/x"), (-2, "a://b.NET?q"), (-3, "x://ex.example.net/en/"), (-4, "x://example.net/en"), (-5, "x://y://example.com/de/"), (-6, ""), (-7, None), (-8, "x://é.org/fr/é#"), (-9, "x://" + "a" * 50_000 + ".org/fr/"), (-9, "x://a.org/fr"), (None, "x://xnet/")]
+    every = pages.union(spark.createDataFrame(odd, "page_id long, url string"))
+    want = []
+    for i, url in [tuple(r) for r in every.collect()]:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.sub("[A-Z]", lambda m: m.group().lower(), re.match(r"[^/?#]*", rest).group())
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        fits = [(h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits, key=lambda r: len(r[0]), default=(None, None))
+        want.append((i, host, path, rule, verdict or ("block" if urls.probability(weights, [host], [path])[0] >= 0.5 else "allow")))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in urls.judge(every, weights).collect())
+
+
 def test_viterbi():
     rng = np.random.default_rng(0)
     for k in (1, 2, 4, 5):

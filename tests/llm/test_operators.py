@@ -350,10 +350,70 @@ def test_license_in_a_long_line(size):
     for name, text in licenses.TEMPLATES if size < 1_000_000 else licenses.TEMPLATES[::5]:
         got = licenses.Scanner().scan(prose + text + " " + prose)
         assert [(r[0], r[1], r[2], r[4]) for r in got] == [(name, len(prose), len(prose) + len(text), 0)] and got[0][3] > 0
-    changed = licenses.TEMPLATES[2][1].replace("hereby granted", "herewith given")
+    changed = next(t for n, t in licenses.TEMPLATES if t.startswith("Permission is hereby")).replace("hereby granted", "herewith given")
     got = licenses.Scanner().scan(f"{prose}license {PROSE}{changed} {prose}")
-    assert [(r[0], r[4], r[5]) for r in got] == [("MIT-text", 2, "hereby granted -> herewith given")]
-
+    assert [(r[0], r[4], r[5]) for r in got] == [("MIT", 2, "hereby granted -> herewith given")]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Licensed under CC BY 3.0.", ["CC-BY-3.0"]), ("Licensed under CC BY 1.0.", []), ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]), ("Licensed under CC BY-XY 4.0.", []),
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]), ("This work is licensed under the GNU General Public License, version 4.", []),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]), ("Licensed under the Apache License, Version 1.1.", []), ("Licensed under the XYZ License.", []),
+        ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]), ("# SPDX-License-Identifier: GPL-2.0-only", ["GPL-2.0-only"]), ("This project is licensed under the MIT license.", ["MIT"]), ("A mere license to fish, MIT or not", []),
+    ],
+)
+def test_license_versions(text, want):
+    assert [r[0] for r in licenses.Scanner().scan(text)] == want
+
+
+def test_licenses_against_brute_force():
+    """Every stretch against every template by a plain table of common subsequences; then the best first."""
+    pick = tuple(t for t in licenses.TEMPLATES if len(t[1].split()) < 16 and "SPDX" not in t[1])[::3]
+    scanner, rng, hits = licenses.Scanner(pick), np.random.default_rng(4), 0
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    def brute(text):
+        spans = [m.span() for m in re.finditer(r"\S+", text)]
+        own = [licenses._plain(text[s:e]) for s, e in spans]
+        every = []
+        for k, (name, template) in enumerate(pick):
+            want = [licenses._plain(w) for w in template.split()]
+            for s in range(len(own)):
+                for e in range(s + 1, min(len(own), s + len(want) + 2 * (len(want) // 4)) + 1):
+                    same = common(want, own[s:e])
+                    if same >= math.ceil(0.8 * len(want)) and own[s] in want and same > common(want, own[s : e - 1]):
+                        differ, how, ok = scanner._align(k, tuple(own[s:e]))
+                        if ok:
+                            every.append((differ - same, -scanner.saved(k, text[spans[s][0] : spans[e - 1][1]]), name, s, e, k, same, differ, how))
+        out, taken = [], set()
+        for _, saved, name, s, e, _, _, differ, how in sorted(every):
+            if not taken & set(range(s, e)):
+                taken |= set(range(s, e))
+                out.append((name, spans[s][0], spans[e - 1][1], -saved, differ, how))
+        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+    for _ in range(25):
+        parts = []
+        for _ in range(3):
+            w = pick[rng.integers(len(pick))][1].split()
+            for _ in range(rng.integers(0, 3)):
+                i = rng.integers(len(w))
+                w[i : i + rng.integers(0, 2)] = [str(rng.choice(["the", "license", "4.0", "of"]))] * rng.integers(0, 2)
+            parts += w + ["and", "license"]
+        got = scanner.scan(" ".join(parts))
+        assert got == brute(" ".join(parts))
+        hits += len(got)
+    assert hits > 30
 
 def test_license_where_a_longer_run_is_elsewhere():
     got = licenses.Scanner().scan("Released under the moon without any fee at all, then came more words; and it was Released beneath the MIT License. All rights reserved. All rights reserved.")
@@ -371,7 +431,7 @@ def test_wrapped_licenses(spark):
     rows.append((len(rows), "/*\n * Permission\n * to use, copy, modify, and distribute this software for any purpose\n * with or without fee is hereby granted.\n */"))
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "start").collect()
     assert [(r["doc_id"], r["license"], r["start"], r["end"], r["exact"]) for r in got[:-1]] == want
-    assert (got[-1]["doc_id"], got[-1]["license"], got[-1]["differing_words"]) == (len(want), "ISC", 2)
+    assert (got[-1]["doc_id"], got[-1]["license"], got[-1]["differing_words"]) == (len(want), "ISC", 3)
     text = "Licensed under the Apache License,\nVersion 2.0."
     assert [r[:3] for r in licenses.Scanner().scan(text)] == [("Apache-2.0", 0, len(text))]
 

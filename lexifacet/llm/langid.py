@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .viterbi import decode
 from .words import Words, chunks, mix, utf8
 
-#: The bounded sample that the model learns from: about so many rows a language.
+#: The bounded sample that the model learns from: about so many distinct rows a language.
 SAMPLE_ROWS = 1500
+#: Bytes times languages that are scored at once.
+SCORED = 16_000_000
 BITS = 16
 NONE = 1 << BITS
 SWITCH = 4.0
@@ -109,7 +111,14 @@ def word_scores(model: dict, w: Words) -> tuple[np.ndarray, np.ndarray]:
     key, _, letters, bits = grams(w)
     if not len(w.start):
         return np.zeros((0, len(model["langs"])), np.float32), letters
-    scores = np.add.reduceat(model["table"][key], w.start, axis=0)
+    k = len(model["langs"])
+    scores = np.empty((len(w.start), k), np.float32)
+    i = 0
+    while i < len(w.start):  # some words at a time: what is looked up is bytes x languages
+        j = max(i + 1, int(np.searchsorted(w.start, w.start[i] + SCORED // max(k, 1))))
+        end = w.start[j] if j < len(w.start) else len(key)
+        np.add.reduceat(model["table"][key[w.start[i] : end]], w.start[i:j] - w.start[i], axis=0, out=scores[i:j])
+        i = j
     able = (bits[:, None] & model["scripts"][None]) > 0
     scores[~able & able.any(1)[:, None]] -= 1e4
     return scores, letters
@@ -178,17 +187,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     """Learn from text and non-null lang of rows not held out.
 
-    Of each language about `rows` rows are taken, those whose hash of the id is
-    below rows / (rows of the language); a language with fewer gives all.
+    Of each language about `rows` distinct rows are taken: those whose hash of
+    id and text is below rows / (distinct rows of the language); a language with
+    fewer gives all. So the bound holds whatever the ids are; rows that repeat
+    count once.
     """
-    known = docs.where(F.col("lang").isNotNull() & ~held_out())
-    many = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    mark = F.xxhash64("doc_id", "text", F.lit(7))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", mark.alias("mark"))
+    many = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("mark", 0.02).alias("n")).collect()}
     if not many:
         return learn(iter([]))
-    limit = F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, min(1.0, rows / n))])
-    share = F.expr("pmod(xxhash64(doc_id, 7), 1048576L)").cast("double") / 1048576
-    picked = known.where((share < limit[F.col("lang")]) & F.col("text").isNotNull()).select("text", "lang")
-    return learn((r["text"], r["lang"]) for r in picked.collect())
+    limit = F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, 2.0 if n <= rows else rows / n)])
+    share = F.expr("pmod(mark, 1048576L)").cast("double") / 1048576
+    picked = known.where(share < limit[F.col("lang")]).groupBy("lang", "mark").agg(F.first("text").alias("text"))
+    return learn((r["text"], r["lang"]) for r in picked.select("text", "lang").toLocalIterator())
 
 
 def _points(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .langid import held_out
 from .words import Words, chunks, utf8
 
-#: The bounded sample that the model learns from: about so many labelled rows.
+#: The bounded sample that the model learns from: at most so many labelled rows.
 SAMPLE_ROWS = 16_000
 THRESHOLD = 0.7
 NAMES = ("log_words", "upper", "symbols", "exclaims", "bars", "digits", "word_length", "repeats_before", "distinct", "stops", "lines", "symbol_ends", "high", "repeated_shingles", "long_words")
@@ -170,20 +170,28 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
-    """Learn labels.quality from about `rows` labelled rows whose id isn't held out: those with the least hashes of their ids."""
+    """Learn labels.quality from at most `rows` labelled rows whose id isn't held out.
+
+    Of the distinct (doc_id, quality) those with the least hashes are taken,
+    about `rows`; of the documents that have these ids, the `rows` with the least
+    hashes of id, label and text. So the bound holds for repeated ids too; a
+    null id has no label.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    many = known.count()
+    mark = F.xxhash64("doc_id", "quality", F.lit(11))
+    many = known.agg(F.approx_count_distinct(mark, 0.02).alias("n")).first()["n"]
     if not many:
         return train(np.zeros((0, len(NAMES)), np.float32), np.zeros(0))
-    picked = known.where(F.expr("pmod(xxhash64(doc_id, 11), 1048576L)") < min(1.0, rows / many) * 1048576)
+    picked = known if many <= rows else known.where(F.pmod(mark, F.lit(1048576)) < rows / many * 1048576)
+    picked = picked.distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("mark"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "quality", "mark", "x"])
 
-    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
-    got = met.mapInArrow(run, "doc_id long, quality int, x array<float>").toArrow()
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", F.xxhash64("doc_id", "quality", "text").alias("mark"), "text")
+    got = met.mapInArrow(run, "doc_id long, quality int, mark long, x array<float>").orderBy("mark").limit(rows).toArrow()
     if not got.num_rows:
         return train(np.zeros((0, len(NAMES)), np.float32), np.zeros(0))
     x = np.stack(got["x"].to_numpy(zero_copy_only=False)) if got.num_rows else np.zeros((0, len(NAMES)))

@@ -17,7 +17,8 @@ def decode(scores: np.ndarray, first: np.ndarray, change: np.ndarray) -> np.ndar
     together, longest first, one position of all of them a step.
     """
     n, k = scores.shape
-    out = scores.argmax(1).astype(np.int8) if n else np.zeros(0, np.int8)
+    kind = np.int8 if k < 128 else np.int32
+    out = scores.argmax(1).astype(kind) if n else np.zeros(0, kind)
     if n == 0 or k == 1:
         return out
     top = np.partition(scores, k - 2, axis=1)
@@ -48,9 +49,9 @@ def decode(scores: np.ndarray, first: np.ndarray, change: np.ndarray) -> np.ndar
         m = int(np.searchsorted(-length, -t, "left"))  # pieces longer than t
         live.append(m)
         paths = best[:m, :, None] + change[None]
-        back.append(paths.argmax(1).astype(np.int8))
+        back.append(paths.argmax(1).astype(kind))
         best[:m] = paths.max(1) + scores[start[:m] + t]
-    label = (best + ends).argmax(1).astype(np.int8)
+    label = (best + ends).argmax(1).astype(kind)
     for t in range(steps - 1, 0, -1):
         m = live[t]
         out[start[:m] + t] = label[:m]

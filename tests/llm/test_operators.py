@@ -241,7 +241,7 @@ def test_urls_against_brute_force(spark):
 
 def test_viterbi():
     rng = np.random.default_rng(0)
-    for k in (1, 2, 4, 5):
+    for k in (1, 2, 4, 5, 130, 200):
         for scale in (1, 5, 30):
             first = np.concatenate([[0], np.cumsum(rng.integers(0, 25, 40))])
             s, change = rng.normal(size=(first[-1], k)) * scale, rng.normal(size=(k, k))
@@ -262,6 +262,35 @@ def test_language(spark, docs, none):
     assert [s[2] for s in spans] == ["de", "fr"]
 
 
+def test_many_languages():
+    """130 made-up languages, scored some words at a time and together, give the same; labels above 127 come out."""
+    rng = np.random.default_rng(1)
+    letters = [chr(97 + i) for i in range(26)]
+    vocabulary = {f"l{i:03}": ["".join(rng.choice(letters, 5)) for _ in range(30)] for i in range(130)}
+    model = langid.learn((" ".join(rng.choice(v, 200)), k) for k, v in vocabulary.items())
+    texts = [" ".join(rng.choice(v, 40)) for v in vocabulary.values()]
+    assert langid.label_texts(model, pa.array(texts))[0] == list(vocabulary)
+    many, langid.SCORED = langid.SCORED, 5000
+    assert langid.label_texts(model, pa.array(texts))[0] == list(vocabulary)
+    langid.SCORED = many
+
+
+@pytest.mark.parametrize("doc_id", [None, 5, 9])
+def test_samples_are_bounded_for_any_ids(spark, monkeypatch, doc_id):
+    """One id, null or not, on all rows: neither sample is empty where there is a row to learn from, none is above its bound."""
+    d = spark.range(6000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.concat(F.lit("some words "), F.col("id")).alias("text"), F.when(F.col("id") < 5900, "a").otherwise("b").alias("lang"), (F.col("id") % 2).cast("int").alias("quality"))
+    took = {}
+    monkeypatch.setattr(langid, "learn", lambda rows: took.update(n=[lang for _, lang in rows]))
+    for rows in (d, d.withColumn("text", F.lit("the same"))):
+        langid.fit(rows, 200)
+        held = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
+        distinct = 1 if rows is not d else 200
+        assert (not held and distinct / 2 <= took["n"].count("a") <= 2 * distinct and took["n"].count("b") == min(100, distinct)) or took["n"] == []
+    monkeypatch.setattr(quality, "train", lambda x, y: took.update(y=y))
+    quality.fit(d, d.select("doc_id", "quality"), 300)
+    assert len(took["y"]) == (300 if doc_id is not None and not held else 0)
+
+
 def test_language_spans_of_documents(spark):
     d = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = langid.fit(d)

@@ -1,9 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are runs of letters, digits and bytes above 127, A-Z lower-cased. Seeds
-of SEED words that a document and an item share are joined; for each pair that
-could reach the threshold, the longest match of unmarked words, at least SEED
-long, is marked again and again (tiles), in whatever order the passages lie.
+of SEED words that a document and an item share are joined, of each item only
+the rarest that a pair must share; for each pair that could reach the threshold,
+the longest match of unmarked words, at least SEED long, is marked again and
+again (tiles) by running Karp-Rabin hashes of windows of decreasing length, in
+whatever order the passages lie.
 A pair whose tiles cover at least COVER of the item's words is contaminated.
 An item of fewer than SEED words is one seed, and only a document that holds it
 whole, word after word, is contaminated by it.
@@ -24,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, drop_rows, row_key
-from .words import LOWER, Words, chunks, mix, utf8
+from .words import LOWER, Words, _powers, chunks, mix, utf8
 
 SEED = 5
 COVER = 0.6
+#: Pairs that a task tiles.
+PAIRS = 5000
 #: Bits of the bitmap: 4 MB.
 BITS = 25
 APART = np.ones(256, bool)
@@ -42,36 +46,70 @@ def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - BITS)).astype(np.int64), (mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+class Windows:
+    """Running Karp-Rabin hashes of the windows of a sequence of words that hold no marked word."""
+
+    def __init__(self, code: np.ndarray):
+        self.code, self.marked = code, code < 0
+        power, self.inverse = _powers(len(code) + 1)
+        self.run = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(mix(code.astype(np.uint64) + np.uint64(1)) * power[: len(code)], out=self.run[1:])
+        self.count()
+
+    def count(self) -> None:
+        self.ahead = np.concatenate([[0], np.cumsum(self.marked)])
+
+    def at(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, start) of each window of n words."""
+        start = np.flatnonzero(self.ahead[n:] == self.ahead[: len(self.ahead) - n]) if len(self.code) >= n else np.zeros(0, np.int64)
+        return (self.run[start + n] - self.run[start]) * self.inverse[start], start
+
+
 def tiles(item: list[str], parts: list[list[str]], seed: int = SEED) -> list[tuple[int, int, int]]:
-    """(start in item, start in the parts laid end to end, length) of the greedy tiles."""
+    """(start in item, start in the parts laid end to end, length) of the greedy tiles, by running Karp-Rabin.
+
+    The search length is the longest of which unmarked windows of both sides
+    have a hash in common, found by bisection below the one before. Windows that
+    meet there, from the left, are compared word by word and marked.
+    """
     code: dict[str, int] = {}
-    a = np.array([code.setdefault(w, len(code)) for w in item], np.int64)
-    flat: list[int] = []
-    for p in parts:
-        flat += [code.get(w, -1) for w in p] + [-1]
-    b = np.array(flat, np.int64)
-    a, b, out = a.copy(), b.copy(), []
-    while True:
-        longest, at = seed - 1, []
-        run = np.zeros(len(b) + 1, np.int32)
-        for i, w in enumerate(a):
-            new = np.zeros(len(b) + 1, np.int32)
-            if w >= 0:
-                hit = np.flatnonzero(b == w)
-                new[hit + 1] = run[hit] + 1
-            top = int(new.max())
-            if top > longest:
-                longest, at = top, []
-            if top == longest and top >= seed:
-                at += [(i + 1 - top, int(j) - top) for j in np.flatnonzero(new == top)]
-            run = new
-        if longest < seed:
-            return out
-        for i, j in sorted(at):
-            if (a[i : i + longest] >= 0).all() and (b[j : j + longest] >= 0).all():
-                out.append((i, j, longest))
-                a[i : i + longest] = -2
-                b[j : j + longest] = -1
+    a = Windows(np.array([code.setdefault(w, len(code)) for w in item], np.int64))
+    b = Windows(np.array([c for p in parts for c in [*(code.get(w, -1) for w in p), -1]], np.int64))
+    out: list[tuple[int, int, int]] = []
+
+    def meet(n: int) -> bool:
+        return bool(np.isin(a.at(n)[0], b.at(n)[0]).any())
+
+    most = len(item)
+    while most >= seed and meet(seed):
+        low = seed
+        while low < most:
+            middle = (low + most + 1) // 2
+            if meet(middle):
+                low = middle
+            else:
+                most = middle - 1
+        (ha, ia), (hb, ib) = a.at(most), b.at(most)
+        order = np.argsort(hb, kind="stable")
+        hb, ib = hb[order], ib[order]
+        first, last = np.searchsorted(hb, ha, "left"), np.searchsorted(hb, ha, "right")
+        at = {}  # where the search among the windows of one hash goes on: those ahead are marked
+        for i, h, x, z in zip(ia.tolist(), ha.tolist(), first.tolist(), last.tolist()):
+            if x == z or a.marked[i] or a.marked[i + most - 1]:  # tiles marked here are as long as a window: one that overlaps holds an end
+                continue
+            x = at.get(h, x)
+            while x < z:
+                j = int(ib[x])
+                if not b.marked[j] and not b.marked[j + most - 1] and (a.code[i : i + most] == b.code[j : j + most]).all():
+                    out.append((i, j, most))
+                    a.marked[i : i + most] = b.marked[j : j + most] = True
+                    break
+                x += 1
+            at[h] = x
+        a.count()
+        b.count()
+        most -= 1  # all windows of this length that meet are marked
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: Column, scratch: Scratch, seed: int = SEED, cover: float = COVER) -> DataFrame:
@@ -138,20 +176,30 @@ def contaminated(docs: DataFrame, items: DataFrame, key: Column, scratch: Scratc
 
     near = docs.select(key.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(stretches, "k long, doc_id long, parts array<string>, seeds array<long>")
     near = scratch.save(near)
-    # tiles of at least `seed` words: c covered words hold at least c / seed shared seeds
-    pairs = near.select("k", F.explode("seeds").alias("seed")).distinct().join(seed_table, "seed").groupBy("k", "item", "item_words").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * seed >= F.ceil(cover * F.col("item_words")))
-    ready = pairs.join(near.select("k", "doc_id", "parts").dropDuplicates(["k"]), "k").join(item, "item").select("k", "doc_id", "item_id", "text", "parts")
+    # Tiles of at least `seed` words: c covered words of the item hold at least c / seed places whose seed is shared. So a pair shares one of
+    # the item's rarest seeds, those left when its most frequent ones go as long as they hold fewer places than a pair needs.
+    exploded = near.select("k", F.explode("seeds").alias("seed"))
+    often = exploded.groupBy("seed").agg(F.count(F.lit(1)).alias("often"))
+    own = seed_table.groupBy("item", "item_words", "seed").agg(F.count(F.lit(1)).alias("places")).join(often, "seed")
+    tail = Window.partitionBy("item").orderBy(F.desc("often"), "seed")
+    rare = own.withColumn("behind", F.sum("places").over(tail)).where(F.col("behind") >= F.ceil(F.ceil(cover * F.col("item_words")) / seed)).select("item", "seed")
+    pairs = scratch.save(exploded.join(rare, "seed").select("k", "item").distinct())
+    parallel = docs.sparkSession.sparkContext.defaultParallelism
+    ready = pairs.join(near.dropDuplicates(["k"]), "k").join(item, "item").select("k", "doc_id", "item", "item_id", "text", "parts", "seeds")
+    ready = ready.repartition(max(2 * parallel, math.ceil(pairs.count() / PAIRS)), "k", "item").drop("item")  # the work is tiling, which partitions by bytes would leave to one task
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             covered, size = [], []
             data, offsets = utf8(b.column("text"))
-            for i, parts in enumerate(b.column("parts").to_pylist()):
+            for i, (parts, met) in enumerate(zip(b.column("parts").to_pylist(), b.column("seeds"))):
                 w = Words(data, offsets, i, i + 1, APART)
                 low = LOWER[w.bytes].tobytes()
                 words = [low[s:e].decode("utf-8", "replace") for s, e in zip(w.start, w.end)]
-                covered.append(sum(t[2] for t in tiles(words, [p.split(" ") for p in parts], min(seed, len(words)))))
                 size.append(len(words))
+                shared = np.isin(w.shingles(min(seed, len(words)))[0].view(np.int64), met.values.to_numpy()).sum()
+                enough = shared * seed >= math.ceil(cover * len(words))
+                covered.append(sum(t[2] for t in tiles(words, [p.split(" ") for p in parts], min(seed, len(words)))) if enough else 0)
             keep = pa.array([c >= (math.ceil(cover * n) if n >= seed else n) for c, n in zip(covered, size)], pa.bool_())
             rows = pa.RecordBatch.from_arrays([b.column("k"), b.column("doc_id"), b.column("item_id"), pa.array(covered, pa.int64()), pa.array(size, pa.int64()), pa.array([c / n for c, n in zip(covered, size)], pa.float64())], ["k", "doc_id", "item_id", "covered", "item_words", "coverage"])
             yield rows.filter(keep)

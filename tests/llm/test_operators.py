@@ -134,6 +134,77 @@ def test_short_benchmark_items(spark):
     assert sorted(r["doc_id"] for r in decontam.drop_contaminated(d, b).collect()) == [2, 5, 7, 9, 10, 11]
 
 
+def brute_tiles(a, b, seed):
+    """The longest common run of unmarked words, the leftmost of equal ones, again and again."""
+    a, b, out = list(a), list(b), []
+    while True:
+        best = (0, 0, 0)
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a):
+            new = [0] * (len(b) + 1)
+            for j, y in enumerate(b):
+                if x is not None and x == y:
+                    new[j + 1] = row[j] + 1
+                    best = min(best, (-new[j + 1], i - new[j + 1] + 1, j - new[j + 1] + 1))
+            row = new
+        n, i, j = -best[0], best[1], best[2]
+        if n < seed:
+            return sorted(out)
+        out.append((i, j, n))
+        a[i : i + n], b[j : j + n] = [None] * n, [None] * n
+
+
+def test_tiles_against_brute_force():
+    rng = np.random.default_rng(8)
+    for size, kinds in ((6, 2), (12, 2), (25, 3), (40, 3), (60, 8), (60, 40)):
+        for _ in range(12):
+            item = [f"w{x}" for x in rng.integers(0, kinds, rng.integers(1, size))]
+            parts = [[f"w{x}" for x in rng.integers(0, kinds + 1, rng.integers(1, size))] for _ in range(rng.integers(1, 4))]
+            if size == 60:  # reordered passages of the item
+                cuts = sorted(rng.integers(0, len(item), 4).tolist())
+                pieces = [item[x:z] for x, z in zip([0, *cuts], [*cuts, len(item)]) if z > x]
+                parts = [[w for k in rng.permutation(len(pieces)) for w in [*pieces[k], "x"]]] + parts
+            flat = [w for i, p in enumerate(parts) for w in [*p, f"end{i}"]]
+            for seed in (1, 3, 5):
+                assert sorted(decontam.tiles(item, parts, seed)) == brute_tiles(item, flat, seed)
+
+
+def test_long_tiles():
+    """20,000 words, reordered in pieces of many lengths, and the same word throughout: all is covered."""
+    item = [f"w{i}" for i in range(20_000)]
+    cuts = np.unique(np.random.default_rng(3).integers(0, 20_000, 300)).tolist()
+    pieces = [item[a:z] for a, z in zip([0, *cuts], [*cuts, 20_000])]
+    found = decontam.tiles(item, pieces[::-1], 5)
+    assert sum(x[2] for x in found) == sum(len(p) for p in pieces if len(p) >= 5)
+    assert sum(x[2] for x in decontam.tiles(["a"] * 20_000, [["a"] * 15_000, ["a"] * 7], 5)) == 15_007
+
+
+def test_decontamination_against_brute_force(spark):
+    """Documents that hold, reorder, cut and repeat items, and a phrase that all share; the result by tiling every pair."""
+    rng = np.random.default_rng(6)
+    stock = "as everybody knows by now it goes without saying"
+    vocabulary = [f"v{i}" for i in range(400)]
+    made = [" ".join(rng.choice(vocabulary, n)) for n in (7, 12, 20, 35, 35)]
+    made = [f"{stock} {m}" for m in made] + [stock, "a a a a a a a a a a", "b b b b b b c b b b b b b", "one two"]
+    texts = []
+    for m in made:
+        w = m.split()
+        half = len(w) // 2
+        texts += [m, f"x {' '.join(w[half:])} y {' '.join(w[:half])}", " ".join(w[: math.ceil(0.6 * len(w))]), " ".join(w[: math.ceil(0.6 * len(w)) - 1]), " ".join(x for i in range(0, len(w), 5) for x in [*w[i : i + 5], "z"]), m.upper().replace(" ", ", ")]
+    texts += [f"{stock} {' '.join(rng.choice(vocabulary, 30))}" for _ in range(40)]
+    docs, items = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(made)), "item_id long, text string")
+    plain = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    want = []
+    for i, m in enumerate(made):
+        a = plain(m)
+        for d, t in enumerate(texts):
+            seed = min(5, len(a))
+            covered = sum(x[2] for x in brute_tiles(a, plain(t), seed)) if len(set(a) & set(plain(t))) >= 1 else 0
+            if covered >= (math.ceil(0.6 * len(a)) if len(a) >= 5 else len(a)):
+                want.append((d, i, covered, len(a)))
+    assert sorted((r["doc_id"], r["item_id"], r["covered"], r["item_words"]) for r in decontam.report(docs, items).collect()) == sorted(want) and len(want) > 40
+
+
 def test_tiles_are_greedy():
     item = "a b c d e f g h i j".split()
     assert sorted(decontam.tiles(item, ["f g h i j".split(), "x a b c d e".split()], 5)) == [(0, 7, 5), (5, 0, 5)]

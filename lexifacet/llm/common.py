@@ -57,12 +57,22 @@ class Scratch:
                 raise
 
 
-def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row; equal rows have equal keys. Which columns are null counts, as the hash itself skips nulls."""
+#: The type of row keys.
+KEY = "struct<a: long, b: long>"
+
+
+def row_hash(*columns: str) -> Column:
+    """A 64-bit hash of a row; which columns are null counts, as the hash itself skips nulls."""
     quoted = [F.col(f"`{c}`") for c in columns]
     return F.xxhash64(*quoted, F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in quoted]))
 
 
+def row_key(*columns: str) -> Column:
+    """A key of a row, of two hashes: equal rows have equal keys, and 128 bits keep others apart at any number of rows."""
+    quoted = [F.col(f"`{c}`") for c in columns]
+    return F.struct(row_hash(*columns).alias("a"), F.xxhash64(F.lit(0x9E3779B9), *quoted).alias("b"))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name like `name` that the table doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}
@@ -131,7 +141,22 @@ def blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
     """
     rows = rows.withColumn("parts", F.expr(f"cast(ceil(n / {most}) as int)")).withColumn("sub", F.expr("cast(pmod(xxhash64(class), parts) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    rows = rows.withColumn("x", F.least("sub", "other")).withColumn("y", F.greatest("sub", "other")).drop("other", "parts", "n")
+    return _pairs(rows.drop("parts", "n"), group)
+
+
+def blocks_with_main(rows: DataFrame, group: str) -> DataFrame:
+    """Like blocks(), for rows with class, main (whether of the part of the group that is known to be connected), main_parts and other_parts, its numbers of blocks.
+
+    Two blocks of the main part needn't meet: each of its rows goes to the blocks of the others only.
+    """
+    first = "if(main, 0, main_parts)"
+    rows = rows.withColumn("sub", F.expr(f"cast({first} + pmod(xxhash64(class), if(main, main_parts, other_parts)) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(if(main, main_parts, 0), main_parts + other_parts - 1)")))
+    return _pairs(rows.drop("main", "main_parts", "other_parts"), group)
+
+
+def _pairs(rows: DataFrame, group: str) -> DataFrame:
+    rows = rows.withColumn("x", F.least("sub", "other")).withColumn("y", F.greatest("sub", "other")).drop("other")
     return rows.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y")
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, drop_rows, row_key
+from .common import KEY, Scratch, drop_rows, row_hash, row_key
 from .words import LOWER, Words, _powers, chunks, mix, utf8
 
 SEED = 5
@@ -124,7 +124,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: Column, scratch: Scratc
                 take = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays([b.column("item").take(take), pa.array(np.diff(w.first)[text].astype(np.int64)), pa.array(h.view(np.int64))], ["item", "item_words", "seed"])
 
-    item = items.select(F.col("item_id").cast("long").alias("item_id"), "text", row_key("item_id", "text").alias("item")).dropDuplicates(["item"])
+    item = items.select(F.col("item_id").cast("long").alias("item_id"), "text", row_hash("item_id", "text").alias("item")).dropDuplicates(["item"])
     item = scratch.save(item)
     seed_table = scratch.save(item.mapInArrow(seeds, "item long, item_words long, seed long"))
 
@@ -174,7 +174,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: Column, scratch: Scratc
                     hits.append(np.unique(h[x:z]).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(row, pa.int64())), b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(parts, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.int64()))], ["k", "doc_id", "parts", "seeds"])
 
-    near = docs.select(key.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(stretches, "k long, doc_id long, parts array<string>, seeds array<long>")
+    near = docs.select(key.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(stretches, f"k {KEY}, doc_id long, parts array<string>, seeds array<long>")
     near = scratch.save(near)
     # Tiles of at least `seed` words: c covered words of the item hold at least c / seed places whose seed is shared. So a pair shares one of
     # the item's rarest seeds, those left when its most frequent ones go as long as they hold fewer places than a pair needs.
@@ -204,7 +204,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: Column, scratch: Scratc
             rows = pa.RecordBatch.from_arrays([b.column("k"), b.column("doc_id"), b.column("item_id"), pa.array(covered, pa.int64()), pa.array(size, pa.int64()), pa.array([c / n for c, n in zip(covered, size)], pa.float64())], ["k", "doc_id", "item_id", "covered", "item_words", "coverage"])
             yield rows.filter(keep)
 
-    return scratch.save(ready.mapInArrow(tile, "k long, doc_id long, item_id long, covered long, item_words long, coverage double"))
+    return scratch.save(ready.mapInArrow(tile, f"k {KEY}, doc_id long, item_id long, covered long, item_words long, coverage double"))
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:

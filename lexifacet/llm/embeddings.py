@@ -24,6 +24,7 @@ least vec_id. An empty table gives an empty one.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -42,6 +43,7 @@ BUCKET = 20_000
 SEED = 11
 
 
+@functools.lru_cache(8)
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
     """(d, width): the first d rows of a random orthogonal matrix."""
     width = max(128, -(-d // 64) * 64)
@@ -63,12 +65,17 @@ def tables_for(classes: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return bits, math.ceil(math.log(1e-6) / math.log(1 - alike))
 
 
+@functools.lru_cache(512)
+def planes(d: int, bits: int, table: int, seed: int = SEED) -> np.ndarray:
+    """(d, bits): the hyperplanes of one table."""
+    return np.random.default_rng([seed, d, table]).standard_normal((d, bits))
+
+
 def bucket_keys(x: np.ndarray, bits: int, tables: int, seed: int = SEED) -> Iterator[np.ndarray]:
     """For each table the signs of each vector at `bits` hyperplanes of its own."""
     power = np.uint64(1) << np.arange(bits, dtype=np.uint64)
     for t in range(tables):
-        planes = np.random.default_rng([seed, x.shape[1], t]).standard_normal((x.shape[1], bits))
-        yield (x @ planes > 0).astype(np.uint64) @ power
+        yield (x @ planes(x.shape[1], bits, t, seed) > 0).astype(np.uint64) @ power
 
 
 def _matrix(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -87,8 +94,10 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK,
     scratch = Scratch(vectors.sparkSession)
     usable = "label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x != 0)"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("usable", F.coalesce(F.expr(usable), F.lit(False)))
-    rows = rows.withColumn("class", F.when(F.col("usable"), F.xxhash64("label", "embedding")))
-    classes = rows.where("usable").groupBy("class", F.xxhash64("label", F.size("embedding")).alias("label"), "embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
+    marks = {"m": F.xxhash64("label", "embedding"), "m2": F.xxhash64(F.lit(1), "label", "embedding")}
+    rows = rows.withColumns({k: F.when(F.col("usable"), v) for k, v in marks.items()})
+    classes = rows.where("usable").groupBy("m", "m2", F.xxhash64("label", F.size("embedding")).alias("label"), "embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
+    classes = classes.withColumn("class", F.monotonically_increasing_id())  # numbers, so that none are mistaken
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,9 +108,9 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK,
                 factor[at] = f
                 for i, c in zip(at, np.packbits(signs, axis=1)):
                     code[i] = c.tobytes()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("class", "label", "embedding", "copies", "least")), pa.array(code, pa.binary()), pa.array(factor)], ["class", "label", "embedding", "copies", "least", "code", "factor"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("class", "m", "m2", "label", "embedding", "copies", "least")), pa.array(code, pa.binary()), pa.array(factor)], ["class", "m", "m2", "label", "embedding", "copies", "least", "code", "factor"])
 
-    classes = scratch.save(classes.select("class", "label", "embedding", "copies", "least").mapInArrow(codes, "class long, label long, embedding array<double>, copies long, least long, code binary, factor double"))
+    classes = scratch.save(classes.select("class", "m", "m2", "label", "embedding", "copies", "least").mapInArrow(codes, "class long, m long, m2 long, label long, embedding array<double>, copies long, least long, code binary, factor double"))
     bits, tables = tables_for(classes.count(), threshold)
     angle = math.acos(threshold) / math.pi
 
@@ -189,10 +198,9 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK,
     found = scratch.save(spread.select("component", "x", "y", "sub", "class", "copies", "embedding", "code", "factor").mapInArrow(compared, "class long, links long, to long"))
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))
     joined = components(found.where("class != to").select(F.col("class").alias("a"), F.col("to").alias("b")), scratch)
-    named = classes.select("class", "copies", "least").join(counts, "class", "left").join(joined.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = classes.select("class", "m", "m2", "copies", "least").join(counts, "class", "left").join(joined.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.save(named.join(first, "component").select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
-    out = rows.where("usable").select("vec_id", "class").join(named, "class").select("vec_id", "n_links", "component_id")
+    named = scratch.save(named.join(first, "component").select("m", "m2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
+    out = rows.where("usable").select("vec_id", "m", "m2").join(named, ["m", "m2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
-

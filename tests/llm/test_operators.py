@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
-from lexifacet.llm import decontam, embeddings, langid, licenses, minhash, mixing, pii, quality, sharding, urls, viterbi
+from lexifacet.llm import common, decontam, embeddings, langid, licenses, minhash, mixing, pii, quality, sharding, urls, viterbi
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, __k string, copies int, class string"
 PROSE = "the quick brown fox jumps over the lazy dog while seven other animals look on from a distant hill and wonder what it all means for them today "
@@ -115,6 +115,49 @@ def test_every_level_of_nodes(spark, monkeypatch):
     assert got == {i: 0 if i < 100 else i for i, _ in rows}
 
 
+def test_links_within_families(spark, monkeypatch):
+    """Chains whose ends don't link, sets that are alike without linking, clusters: in tiny blocks the components of brute force."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = np.random.default_rng(2)
+    long = [f"c{i}" for i in range(400)]
+    texts = [" ".join(long[i * 4 : i * 4 + 120]) for i in range(40)] + [" ".join(long[i * 11 : i * 11 + 120]) for i in range(20)]
+    base = [f"t{i}" for i in range(120)]
+    for i in range(60):  # a template with one to seven changed words
+        w = list(base)
+        for j in rng.choice(120, 1 + i % 7, replace=False):
+            w[j] = f"x{i}y{j}"
+        texts.append(" ".join(w))
+    sets = [frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for _ in range(8):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 85 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.document_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root)) and 5 < len(set(root)) < len(root) - 30
+
+
+def test_main_part_moves_to_the_others_only(spark):
+    """Each row of a connected part of 1,000 blocks goes to the blocks of the rest, not to those of its own part."""
+    rows = spark.range(5000).select(F.lit(1).alias("family"), F.col("id").alias("class"), (F.col("id") < 4990).alias("main"), F.lit(1000).alias("main_parts"), F.lit(2).alias("other_parts"))
+    got = {(r["class"], r["x"], r["y"]) for r in common.blocks_with_main(rows, "family").collect()}
+    assert len(got) == 4990 * 2 + 10 * 1002 and all(y >= 1000 for _, _, y in got)
+
+
+def test_recall_of_text_pairs(spark):
+    """10,000 pairs of similarity 0.857, near the threshold: none is missed."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(10_000):
+        w = [f"{x:x}" for x in rng.integers(0, 1 << 40, 80)]
+        v = list(w)
+        v[20], v[60] = "p", "q"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    got = minhash.document_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("component_id != 2 * (doc_id div 2) or n_shingles != 78").count() == 0 and got.count() == 20_000
+
+
 def test_decontamination(spark, docs, none, items):
     got = sorted((r["doc_id"], r["item_id"], r["covered"]) for r in decontam.report(docs, items).collect())
     assert got == [(10, 7, 20), (11, 7, 20)]
@@ -212,8 +255,7 @@ def test_tiles_are_greedy():
     assert sum(x[2] for x in decontam.tiles(["a"] * 12, [["a"] * 7], 5)) == 7
 
 
-def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "BOUND", embeddings.BOUND)
+def test_embeddings(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(12, 16))
     x = np.concatenate([c + rng.normal(size=(25, 16)) * 0.12 for c in centre] + [rng.normal(size=(60, 16))])
@@ -235,14 +277,15 @@ def test_embeddings(spark, monkeypatch):
 
 
 def test_isolated_pairs_at_the_threshold(spark, monkeypatch):
-    """With the bits and tables of ten million classes, no pair at the threshold without other neighbours is missed."""
+    """With the bits and tables of ten million classes, no pair at the threshold without other neighbours is missed: 10,000 pairs of cosine 0.98 to 0.985."""
     many = embeddings.tables_for
     monkeypatch.setattr(embeddings, "tables_for", lambda classes, threshold: many(10_000_000, threshold))
     rng = np.random.default_rng(5)
-    x, y = rng.normal(size=(2, 2000, 64))
+    x, y = rng.normal(size=(2, 10_000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y -= (x * y).sum(1, keepdims=True) * x
-    y = 0.980001 * x + math.sqrt(1 - 0.980001**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    cosine = rng.uniform(0.980001, 0.985, (len(x), 1))
+    y = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
     rows = [(2 * i + k, v[i].tolist(), 0) for i in range(len(x)) for k, v in enumerate((x, y))]
     got = embeddings.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sum(r["n_links"] != 1 or r["component_id"] != r["vec_id"] // 2 * 2 for r in got) == 0 and len(got) == len(rows)

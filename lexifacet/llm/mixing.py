@@ -24,6 +24,8 @@ from .common import Scratch, free_name, prefix_sums, row_key
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Cells of a size class; with about 16 classes a doubling they split any source.
 CELLS = 1024
+#: Sources up to which one task works out the targets.
+FEW = 100_000
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
@@ -42,12 +44,38 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     first, so the level of the rest is the largest of (total - caps ahead) /
     (weights - weights ahead).
     """
-    everything = Window.partitionBy()
-    ahead = Window.orderBy(F.expr("cap / weight"), "source_key").rowsBetween(Window.unboundedPreceding, -1)
-    cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sizes.withColumn("weight", F.element_at(cycle, ((F.row_number().over(Window.orderBy("source_key")) - 1) % len(weights) + 1).cast("int"))).withColumn("cap", most * F.col("source_size").cast("double"))
-    level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(ahead), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(ahead), F.lit(0.0)))
-    return ranked.withColumn("level", level).withColumn("level", F.max("level").over(everything)).select("source_key", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
+    few = sizes.limit(FEW + 1).count() <= FEW
+    ranked = (ranks if few else ranks_of_many)(sizes).withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("cap", most * F.col("source_size").cast("double"))
+    if few:
+        everything = Window.partitionBy()
+        ahead = Window.orderBy(F.expr("cap / weight"), "source_key").rowsBetween(Window.unboundedPreceding, -1)
+        level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(ahead), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(ahead), F.lit(0.0)))
+        ranked = ranked.withColumn("level", level).withColumn("level", F.max("level").over(everything))
+    else:  # reshare, round by round, until no further source is above its cap; sums of whole numbers, so as exact as in order
+        total, level = share * ranked.agg(F.sum("source_size")).first()[0], 0.0
+        while True:
+            over = F.col("cap") <= level * F.col("weight")
+            r = ranked.agg(F.sum(F.when(over, F.col("cap")).otherwise(0.0)).alias("caps"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("weights")).first()
+            new = (total - r["caps"]) / r["weights"] if r["weights"] else level
+            if new <= level:
+                break
+            level = new
+        ranked = ranked.withColumn("level", F.lit(level))
+    return ranked.select("source_key", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
+
+
+def ranks(sizes: DataFrame) -> DataFrame:
+    """sizes with rank: the place of each source in the order of its key, from 0."""
+    return sizes.withColumn("rank", F.row_number().over(Window.orderBy("source_key")).cast("long") - 1)
+
+
+def ranks_of_many(sizes: DataFrame) -> DataFrame:
+    """The same by ranges of keys, so that no task holds them all."""
+    parts = Scratch(sizes.sparkSession).save(sizes.repartitionByRange("source_key").withColumn("part", F.spark_partition_id()))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("part").orderBy("source_key")).cast("long")
+    return parts.join(F.broadcast(counts), "part").withColumn("rank", own - 1 + F.col("ahead")).drop("part", "ahead")
 
 
 def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -62,7 +90,9 @@ def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     of_source = targets(rows.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
     bits = F.length(F.bin("size")).cast("int")
     classes = rows.withColumn("class", F.when(F.col("size") == 0, F.lit(0)).otherwise(bits * 32 + F.expr("(size * 32) div shiftleft(1L, length(bin(size)))")).cast("long"))
-    cells = classes.withColumn("cell", F.expr(f"((coalesce(doc_id, 0) % 1000003 + 1000003) % 1000003) * 2654435761 % 2147483647 % {CELLS}"))
+    more = [c for c in columns if c not in ("source", "doc_id", "size")]
+    number = f"coalesce(doc_id, pmod(xxhash64({', '.join(more)}), 1000003L))" if more else "coalesce(doc_id, 0)"  # rows without an id lie apart too
+    cells = classes.withColumn("cell", F.expr(f"(({number} % 1000003 + 1000003) % 1000003) * 2654435761 % 2147483647 % {CELLS}"))
     placed = prefix_sums(cells, ["source_key"], ["class", "cell"], ["doc_id", *[c for c in columns if c not in ("source", "doc_id")]], "n").join(of_source, "source_key")
     offset = F.conv(F.substring(F.md5("source_key"), 1, 8), 16, 10).cast("double") / 4294967296.0
     placed = placed.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("u", offset)

@@ -62,6 +62,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _sharding_sql() -> str:
+    """The permutation once more, step by step in a recursive query; crc32 bit by bit."""
+    bits = [1 << i for i in range(8)]
+    for _ in range(8):
+        bits = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in bits]
+    crc = "s >> 8"
+    for i, x in enumerate(bits):
+        crc = f"xor({crc}, (xor(s, x) >> {i} & 1) * {x})"
+    keys = sharding._round_keys(sharding.SEED)
+    key = lambda j: f"([{', '.join(str(k[j]) for k in keys)}]::bigint[])[i + 1]"
+    once = lambda x: f"(({x} % {sharding.PRIME}) * {key(0)} + {key(1)}) % {sharding.PRIME}"
+    hashed = lambda x: f"((({once(x)}) * ({once(x)}) + {key(2)}) % {sharding.PRIME})"
+    done = f"i = {sharding.ROUNDS}"
+    return f"""
+with recursive h as (select doc_id, text, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint) as b from documents),
+d as (select doc_id, coalesce(len(b), 0)::bigint + 1 as size, case when text is null then null else xor(list_reduce(b, lambda s, x: {crc}, 4294967295::bigint), 4294967295::bigint) end as text_crc32 from h),
+c as (select *, {sharding.cell_expr("doc_id", "size")} as cell from d),
+n as (select *, row_number() over (order by cell, doc_id nulls first, size, text_crc32 nulls first) - 1 as r, count(*) over () as n, ceil(sqrt(count(*) over ()))::bigint as a from c),
+s as (select *, (n + a - 1) // a as b from n),
+w as (select r, n, a, b, r // b as l, r % b as m, 0 as i from s
+  union all select r, n, a, b, case when {done} then (l * b + m) // b when i % 2 = 0 then (l + {hashed("m")}) % a else l end, case when {done} then (l * b + m) % b when i % 2 = 1 then (m + {hashed("l")}) % b else m end, case when {done} then 0 else i + 1 end
+  from w where i < {sharding.ROUNDS} or l * b + m >= n),
+p as (select r, l * b + m as p from w where {done} and l * b + m < n)
+select doc_id, size, text_crc32, 'rows' as law, (p % 16)::int as shard, p // 16 as slot, null::int as grown_shard from s join p using (r)
+"""
+
+
+SHARDING_SQL = _sharding_sql()
+
 EMBEDDINGS_SQL = """
 with recursive v as (
   select vec_id, label, embedding::double[] as e, row_number() over () as r,
@@ -103,4 +132,4 @@ select s.doc_id, len(s.sh)::bigint as n_shingles, c.component_id, s.doc_id is no
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": EMBEDDINGS_SQL, "op4_mixing": MIXING_SQL, "op7_minhash_near_dedup": NEAR_DUPLICATES_SQL}
+    return {"op1_sharding": SHARDING_SQL, "op3_embedding_near_dedup": EMBEDDINGS_SQL, "op4_mixing": MIXING_SQL, "op7_minhash_near_dedup": NEAR_DUPLICATES_SQL}

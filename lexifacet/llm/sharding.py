@@ -65,21 +65,22 @@ def permute_sql(n: str, seed: int = SEED, rounds: int = ROUNDS) -> str:
 def shard(df: DataFrame, id_column: str, size_column: str, shards: int = 16, seed: int = SEED) -> DataFrame:
     """df with shard int and slot long. id_column: whole numbers; size_column: whole numbers, not null. All columns must be groupable.
 
-    Columns of the table named shard, slot, or beginning with __ are replaced.
+    Columns of the table named shard or slot are replaced, all others kept.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    columns = [c for c in df.columns if c.lower() not in ("shard", "slot") and not c.startswith("__")]
-    quoted = [f"`{c}`" for c in columns]
-    rows = df.groupBy(*quoted).agg(F.count(F.lit(1)).alias("__count"))
-    rows = rows.withColumn("__cell_no", F.expr(cell_expr(f"`{id_column}`", f"`{size_column}`")))
-    rows = prefix_sums(rows, [], ["__cell_no"], [f"`{id_column}`", f"`{size_column}`", *[c for c in quoted if c not in (f"`{id_column}`", f"`{size_column}`")]], "__count")
-    rows = rows.select(*quoted, F.explode(F.sequence(F.col("before"), F.col("before") + F.col("__count") - 1)).alias("__row"), F.col("total").alias("__n"))
+    columns = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    own = [f"c{i}" for i in range(len(columns))]  # names of our own, so that none of the table's clash with what is added
+    number, size = (own[[c.lower() for c in columns].index(x.lower())] for x in (id_column, size_column))
+    rows = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(columns, own)]).groupBy(*own).agg(F.count(F.lit(1)).alias("__count"))
+    rows = rows.withColumn("__cell_no", F.expr(cell_expr(number, size)))
+    rows = prefix_sums(rows, [], ["__cell_no"], [number, size, *[c for c in own if c not in (number, size)]], "__count")
+    rows = rows.select(*own, F.explode(F.sequence(F.col("before"), F.col("before") + F.col("__count") - 1)).alias("__row"), F.col("total").alias("__n"))
     side = F.ceil(F.sqrt(F.col("__n").cast("double"))).cast("long")
     rows = rows.withColumn("__a", side).withColumn("__b", F.expr("(__n + __a - 1) div __a"))
     few, walk = permute_sql("__row", seed)
     place = rows.withColumn("__q", F.expr(few)).withColumn("__p", F.expr(walk))
-    return place.select(*quoted, (F.col("__p") % shards).cast("int").alias("shard"), F.expr(f"__p div {shards}").alias("slot"))
+    return place.select(*[F.col(o).alias(c) for c, o in zip(columns, own)], (F.col("__p") % shards).cast("int").alias("shard"), F.expr(f"__p div {shards}").alias("slot"))
 
 
 def text_size(text: str = "text") -> Column:

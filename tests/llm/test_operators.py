@@ -6,6 +6,7 @@ import re
 import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
-from lexifacet.llm import common, decontam, embeddings, langid, licenses, minhash, mixing, pii, quality, sharding, urls, viterbi
+from lexifacet.llm import common, decontam, embeddings, langid, licenses, minhash, mixing, pii, quality, queries, sharding, urls, viterbi
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, __k string, copies int, class string"
 PROSE = "the quick brown fox jumps over the lazy dog while seven other animals look on from a distant hill and wonder what it all means for them today "
@@ -57,6 +58,23 @@ def test_sharding(docs, none):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_shards_keep_all_columns(spark):
+    df = spark.range(10).select("id", F.lit(1).alias("size"), *[F.lit(i).alias(n) for i, n in enumerate(("__a", "__row", "before", "total", "c0", "slot", "Shard"))])
+    out = sharding.shard(df, "id", "size", 3)
+    assert out.columns == ["id", "size", "__a", "__row", "before", "total", "c0", "shard", "slot"] and {tuple(r)[2:7] for r in out.collect()} == {(0, 1, 2, 3, 4)}
+
+
+@pytest.mark.parametrize("name", ["op1_sharding", "op3_embedding_near_dedup", "op4_mixing", "op7_minhash_near_dedup"])
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
+    ran = con.execute(queries.oracle_sql()[name])
+    at = [x[0] for x in ran.description]
+    got = queries.queries()[name](spark, SMALL)
+    assert sorted(at) == sorted(got.columns) and sorted(str(tuple(r)) for r in got.select(*at).collect()) == sorted(map(str, ran.fetchall()))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 97, 1000])
 def test_permutation_is_a_bijection(spark, n):
     out = sharding.shard(spark.range(n).withColumn("size", F.lit(1).cast("long")), "id", "size", 4).collect()
@@ -84,6 +102,17 @@ def test_mixing(spark, docs, none):
     assert {r["source_key"]: pytest.approx(r["target"]) for r in made} == fixed | share
 
 
+def test_targets_of_many_sources(spark, monkeypatch):
+    """Ranked by ranges of keys and reshared round by round: the same targets as in one task."""
+    rng = np.random.default_rng(9)
+    rows = [(f"={x}", int(n)) for x, n in zip(rng.permutation(3000), rng.integers(0, 2000, 3000))] + [("n", 77)]
+    sizes = spark.createDataFrame(rows, "source_key string, source_size long")
+    want = sorted(map(tuple, mixing.targets(sizes).collect()))
+    monkeypatch.setattr(mixing, "FEW", 10)
+    got = sorted(map(tuple, mixing.targets(sizes).collect()))
+    assert got == want and sum(t < 2 * n for _, n, t in want) > 5 and math.isclose(sum(t for _, _, t in want), 1.5 * sum(n for _, n in rows))
+
+
 def test_near_duplicates(docs, none):
     got = minhash.document_components(docs).collect()
     assert len(got) == docs.count() and minhash.document_components(none).count() == 0
@@ -629,31 +658,86 @@ def test_wrapped_licenses(spark):
     assert [r[:3] for r in licenses.Scanner().scan(text)] == [("Apache-2.0", 0, len(text))]
 
 
-def test_pipeline(spark):
-    names = ["quality_classifier", "minhash_near_dedup", "benchmark_decontamination", "mixing", "sharding"]
-    assert [n for n, _ in corpus_pipeline.STAGES] == names
-    d = docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    labels, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("labels", "benchmark"))
-    # brute force, stage by stage
-    model = quality.fit(d, labels)
-    rows = {r["doc_id"]: r["text"] for r in d.collect()}
-    score = dict(zip(rows, quality.score(model, quality.features(pa.array(list(rows.values()))))))
-    rows = {i: t for i, t in rows.items() if score[i] >= 0.7}
-    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w := words(t)) > 4 else frozenset([tuple(w)]) for i, t in rows.items()}
+def survivors(rows, bench):
+    """The ids of (id, text) rows that near-duplicates and decontamination leave, by comparing all pairs; all ids differ."""
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w := words(t)) > 4 else frozenset([tuple(w)] if w else []) for i, t in rows.items()}
     root = {i: i for i in rows}
     for _ in range(4):
         for i in rows:
             for j in rows:
-                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and sets[i]:
+                if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                     root[i] = root[j] = min(root[i], root[j])
-    rows = {i: t for i, t in rows.items() if root[i] == i}
-    plain = lambda t: re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", t.lower())
-    items = [plain(r["text"]) for r in bench.collect()]
-    bad = {i for i, t in rows.items() if any(len(x) >= 5 and sum(k[2] for k in decontam.tiles(x, [plain(t)])) >= 0.6 * len(x) for x in items)}
-    rows = {i: t for i, t in rows.items() if i not in bad}
-    kept = docs.where(F.col("doc_id").isin(list(rows)))
-    report = mixing.mix_report(kept).collect()
-    want = sorted(r["doc_id"] for r in report for _ in range(r["taken"] // r["size"] if r["size"] else 0))
-    got = corpus_pipeline.run(spark, SMALL).collect()
-    assert sorted(r["doc_id"] for r in got if r["size"] > 1) == want
-    assert len({(r["shard"], r["slot"]) for r in got}) == len(got)
+    kept = [i for i in rows if root[i] == i]
+    plain = lambda t: re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    grams = lambda w: {tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))}
+    items = [x for x in map(plain, bench) if x]
+    clean = []
+    for i in kept:
+        w = plain(rows[i])
+        own = {n: {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} for n in range(1, 6)}
+        near = [x for x in items if grams(x) & own[min(5, len(x))]]
+        if not any(sum(k[2] for k in brute_tiles(x, w, min(5, len(x)))) >= (math.ceil(0.6 * len(x)) if len(x) >= 5 else len(x)) for x in near):
+            clean.append(i)
+    return clean
+
+
+def test_pipeline(spark):
+    """run() against the classifier's own predictions, all pairs of texts, all pairs with items, and the SQL of mixing and sharding."""
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "minhash_near_dedup", "benchmark_decontamination", "mixing", "sharding"]
+    d, labels, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    good = {r["doc_id"] for r in quality.score_texts(d, quality.fit(d, labels)).where("predicted = 1").collect()}
+    left = survivors({r["doc_id"]: r["text"] for r in d.collect() if r["doc_id"] in good}, [r["text"] for r in bench.collect()])
+    con = duckdb.connect()
+    con.execute(f"create table kept as select * from read_parquet('{SMALL}/documents.parquet') where doc_id in ({', '.join(map(str, left))})")
+    con.execute("create view documents as select * from kept")
+    con.execute(f"create table mixed as select k.* from kept k join ({queries.MIXING_SQL}) m using (doc_id), range(2) r(i) where m.size > 0 and r.i < m.taken // m.size")
+    con.execute("create or replace view documents as select * from mixed")
+    ran = con.execute(queries.SHARDING_SQL)
+    at = [x[0] for x in ran.description]
+    assert sorted(str(tuple(r)) for r in corpus_pipeline.run(spark, SMALL).select(*at).collect()) == sorted(map(str, ran.fetchall())) and 20 < len(left) < len(good)
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """documents with null, empty, long and repeated rows and extra columns that clash with our names; labels and benchmark with nulls and repeats."""
+    at = tmp_path_factory.mktemp("odd")
+    clash = ["__k", "__copies", "__rows", "k", "class", "size", "shard", "slot", "m", "component", "copies", "before", "total"]
+    base = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    long = " ".join(f"wort{i}" for i in range(15_000))
+    more = [(9000, None, None, None, None), (9001, "", "en", "", 0), (9002, " \n", None, "a", 1), (9003, long, "de", "b", 1), (9004, long + " ende", "de", None, 1), (None, long + " anders", None, None, None), (None, None, None, None, None), (9005, ITEM, "en", "a", 1), (9006, "x " + SWAPPED, "en", "a", 1), (9007, "one", "en", "a", 1)]
+    rows = base.union(spark.createDataFrame(more + more[:3] + more[7:] + more[5:7], base.schema)).select("*", *[F.lit(i).alias(c) for i, c in enumerate(clash)])
+    rows.repartition(3).write.parquet(f"{at}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    labels.union(labels.limit(5)).union(spark.createDataFrame([(None, 1, None), (9000, None, 0), (9003, 1, 0)], labels.schema)).write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(7, ITEM), (7, ITEM), (8, None), (None, ""), (9, "one")], "item_id long, text string").union(spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text")).write.parquet(f"{at}/benchmark.parquet")
+    return str(at)
+
+
+def test_pipeline_on_odd_rows(spark, odd_tables):
+    docs = start = spark.read.parquet(f"{odd_tables}/documents.parquet").cache()
+    key = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "", r["text"] is None) for r in df.select("doc_id", "text").collect())
+    scratch, seen = common.Scratch(spark), []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = scratch.save(stage(spark, docs, odd_tables))
+        seen.append(docs)
+    good, unique, clean, mixed, shards = seen
+    assert all(x.columns == start.columns for x in seen[:4])
+    model = quality.fit(start, spark.read.parquet(f"{odd_tables}/labels.parquet"))
+    assert key(good) == sorted(k for k, s in zip(key(start), quality.score(model, quality.features(pa.array([None if k[2] else k[1] for k in key(start)], pa.string())))) if s >= 0.7)
+    # null ids stand behind all others, which have one text each here
+    rows = {(i if i >= 0 else 1 << 40, n): t for n, (i, t, _) in enumerate(sorted(set(key(unique)) | set(key(good))))}
+    assert len(key(unique)) == len(set(key(unique))) + sum(n - 1 for n in ([key(good).count(k) for k in set(key(good)) if not words(k[1])]))
+    left = survivors(rows, [r["text"] for r in spark.read.parquet(f"{odd_tables}/benchmark.parquet").collect()])
+    assert {t for i, t, _ in key(clean) if words(t)} == {rows[i] for i in left if words(rows[i])}
+    assert {k for k in key(clean) if not words(k[1])} == {k for k in key(good) if not words(k[1])}
+    assert set(key(mixed)) <= set(key(clean)) and max(key(mixed).count(k) for k in key(mixed)) <= 2 * max(key(clean).count(k) for k in key(clean))
+    assert shards.count() == mixed.count() == corpus_pipeline.run(spark, odd_tables).count()
+
+
+@pytest.mark.parametrize("empty", [("documents",), ("labels",), ("benchmark",), ("documents", "labels", "benchmark")])
+def test_pipeline_on_empty_tables(spark, odd_tables, tmp_path, empty):
+    for t in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{odd_tables}/{t}.parquet")
+        (df.limit(0) if t in empty else df).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and (got.count() > 0) == ("documents" not in empty)

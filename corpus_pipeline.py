@@ -1,7 +1,15 @@
 """From documents to shards of a training mix: five stages, each a table that the next one reads.
 
 quality classifier, near-duplicates, decontamination and mixing return the
-columns of documents; sharding returns each row's digest and place.
+columns of documents, whatever their names; sharding returns each row's digest
+and place.
+
+A null or empty text is scored like any other, has no near-duplicate, holds no
+benchmark item, and has size 0 in the mix. Rows repeated throughout are one
+document to the near-duplicate stage, which keeps one of them, unless they have
+no words. A null id counts as the largest. Without a label that says what is
+bad, all documents pass the classifier; without benchmark items, none is
+contaminated; without documents the result is empty.
 """
 
 from __future__ import annotations

@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def display() -> F.Column:
-    return F.concat(F.coalesce("prefix", F.lit("")), F.coalesce("filing", F.lit("")))
-
-
 def reference_counts(postings: DataFrame) -> DataFrame:
-    """(term, scope, ref_type, display, cnt, filing, prefix): documents of each term in all, as itself, and by distinct reference."""
-    once = postings.select("term", "doc", "ref_type", "filing", "prefix").distinct()
-    none = F.lit(None).cast("string")
-    total = once.groupBy("term").agg(F.count_distinct("doc").alias("cnt"), F.count_distinct(F.when(F.col("ref_type").isNull(), F.col("doc"))).alias("own"))
-    parts = F.array(F.struct(F.lit("total").alias("scope"), F.col("cnt").alias("c")), F.struct(F.lit("self").alias("scope"), F.col("own").alias("c")))
-    heads = total.select("term", F.explode(parts).alias("p")).select("term", "p.scope", none.alias("ref_type"), none.alias("display"), F.col("p.c").alias("cnt"), none.alias("filing"), none.alias("prefix"))
-    refs = once.where(F.col("ref_type").isNotNull()).groupBy("term", "ref_type", display().alias("display")).agg(F.count(F.lit(1)).alias("cnt"), F.max(F.struct("filing", "prefix")).alias("m"))
-    return heads.unionByName(refs.select("term", F.lit("ref").alias("scope"), "ref_type", "display", "cnt", F.col("m.filing").alias("filing"), F.col("m.prefix").alias("prefix")))
+    """(term, scope, ref_type, display, cnt, filing, prefix): documents of each term in all, as itself, and by distinct reference.
+
+    One pass over the postings: they are gathered by (term, document), then counted with partial sums.
+    """
+    once = postings.groupBy("term", "doc").agg(F.collect_set(F.struct("ref_type", "filing", "prefix")).alias("r"))
+    item = "named_struct('scope', '{}', 'ref_type', {}, 'display', {}, 'n', {}, 'filing', {}, 'prefix', {})"
+    none = "cast(null as string)"
+    heads = [item.format("total", none, none, "1L", none, none), item.format("self", none, none, "if(exists(r, x -> x.ref_type is null), 1L, 0L)", none, none)]
+    refs = item.format("ref", "x.ref_type", "coalesce(x.prefix, '') || coalesce(x.filing, '')", "1L", "x.filing", "x.prefix")
+    items = once.select("term", F.explode(F.expr(f"concat(array({', '.join(heads)}), transform(filter(r, x -> x.ref_type is not null), x -> {refs}))")).alias("i")).select("term", "i.*")
+    total = items.groupBy("term", "scope", "ref_type", "display").agg(F.sum("n").alias("cnt"), F.max(F.struct("filing", "prefix")).alias("m"))
+    return total.select("term", "scope", "ref_type", "display", "cnt", F.col("m.filing").alias("filing"), F.col("m.prefix").alias("prefix"))
 
 
 def merge_references(*parts: DataFrame) -> DataFrame:

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pivot_counts(df: DataFrame, fields: dict[str, Column], pred: Column | None = None, mincount: int = 1, limit: int = -1, offset: int = 0, by_count: bool = True, queries: dict[str, Column] | None = None) -> DataFrame:
+def pivot_counts(df: DataFrame, fields: dict[str, Column], pred: Column | None = None, mincount: int = 1, limit: int | list[int] = -1, offset: int | list[int] = 0, by_count: bool | list[bool] = True, queries: dict[str, Column] | None = None) -> DataFrame:
     """(level, <fields>, cnt, <queries>, pos): one row per node; children of a node that is cut are cut too.
 
-    One rollup gives every level; queries count below each node.
+    One rollup gives every level; queries count below each node. limit, offset
+    and by_count are the same for all levels or lists of one for each. Nodes are
+    ranked within their parents in one window, then dropped with their parents in one more for each level.
     """
     names = list(fields)
+    each = lambda x: x if isinstance(x, list) else [x] * len(names)
     rows = df if pred is None else df.where(pred)
     rows = rows.select(*[c.cast("string").alias(n) for n, c in fields.items()], *[q.alias(f"__q_{n}") for n, q in (queries or {}).items()]).where(F.col(names[0]).isNotNull())
     known = F.lit(0)
@@ -23,20 +26,19 @@ def pivot_counts(df: DataFrame, fields: dict[str, Column], pred: Column | None =
         level = level + 1 - F.grouping(n)
     tree = rows.rollup(*names).agg(level.cast("int").alias("level"), *aggregates).where(F.col("level") > 0)
     tree = tree.where((F.col("cnt") >= mincount) & (known == len(names) - F.col("level")))
-    kept = [(i, tree.where(F.col("level") == i)) for i in range(1, len(names) + 1)]
-    out, parents = None, None
-    for i, nodes in kept:
-        own, above = names[i - 1], names[: i - 1]
-        if parents is not None:
-            nodes = nodes.join(parents, above, "left_semi")
-        order = [F.desc("cnt"), F.asc(own)] if by_count else [F.asc(own)]
-        w = Window.partitionBy(*above).orderBy(*order) if above else Window.partitionBy("level").orderBy(*order)
-        nodes = nodes.withColumn("pos", (F.row_number().over(w) - 1 - offset).cast("long")).where("pos >= 0")
-        if limit >= 0:
-            nodes = nodes.where(F.col("pos") < limit)
-        parents = nodes.select(*names[:i])
-        out = nodes if out is None else out.unionByName(nodes)
-    return out.select("level", *names, "cnt", *(queries or {}), "pos")
+    of_level = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("level"))
+    parents = [F.when(F.col("level") > i + 1, F.col(n)) for i, n in enumerate(names[:-1])]
+    order = [F.when(of_level(each(by_count)), -F.col("cnt")), *[F.when(F.col("level") == i + 1, F.col(n)) for i, n in enumerate(names)]]
+    tree = tree.withColumn("pos", F.row_number().over(Window.partitionBy("level", *parents).orderBy(*order)))
+    starts, limits = each(offset), each(limit)
+    if all(x >= 0 for x in limits):  # a bound that holds for all levels lets tasks drop most nodes before they are shuffled
+        tree = tree.where(F.col("pos") <= max(s + n for s, n in zip(starts, limits)))
+    ends = [s + n if n >= 0 else 2**62 for s, n in zip(starts, limits)]
+    tree = tree.withColumn("pos", (F.col("pos") - 1).cast("long")).where((F.col("pos") >= of_level(starts)) & (F.col("pos") < of_level(ends)))
+    for i in range(1, len(names)):  # nodes of a level below go where that node has gone
+        here = F.max(F.col("level") == i).over(Window.partitionBy(*[F.when(F.col("level") >= i, F.col(n)) for n in names[:i]], F.col("level") >= i))
+        tree = tree.withColumn("__kept", here).where((F.col("level") < i) | F.col("__kept")).drop("__kept")
+    return tree.select("level", *names, "cnt", *(queries or {}), (F.col("pos") - of_level(starts)).cast("long").alias("pos"))
 
 
 def heatmap_counts(df: DataFrame, x: Column, y: Column, bounds: tuple[float, float, float, float], columns: int, rows: int, pred: Column | None = None, max_cells: int = 100_000) -> DataFrame:

@@ -50,6 +50,17 @@ class Bucket:
         return out
 
 
+class Buckets(list):
+    """Buckets of which the first `many` are equal steps of a number from `start`, by `gap`."""
+
+    start = gap = None
+    many = 0
+
+
+#: Buckets from which a value is sent to its own instead of being tested against each; the most that are allowed.
+WIDE, MOST = 48, 1_000_000
+
+
 def range_buckets(start, end, gap, hardend: bool = False, other: tuple[str, ...] = (), include: tuple[str, ...] = ("lower",)) -> list[Bucket]:
     """The buckets, then before, after and between as asked for."""
     if bad := (set(include) - INCLUDES) | (set(other) - OTHERS):
@@ -60,9 +71,13 @@ def range_buckets(start, end, gap, hardend: bool = False, other: tuple[str, ...]
     edges, at, n = [start], start, 0
     while at < end:
         n += 1
+        if n > MOST:
+            raise ValueError(f"more than {MOST} buckets")
         at = start + n * gap if not isinstance(gap, str) else add_gap(at, gap)
         edges.append(min(at, end) if hardend else at)
-    out = []
+    out = Buckets()
+    if not isinstance(gap, (str, dt.timedelta)):
+        out.start, out.gap, out.many = start, gap, len(edges) - 1
     for i, (a, z) in enumerate(zip(edges, edges[1:])):
         out.append(Bucket(str(a), a, z, "lower" in flags or ("edge" in flags and i == 0), "upper" in flags or ("edge" in flags and i == len(edges) - 2)))
     extra = set() if "none" in other else ({"before", "after", "between"} if "all" in other else set(other))
@@ -79,13 +94,39 @@ def range_buckets(start, end, gap, hardend: bool = False, other: tuple[str, ...]
 
 
 def bucket_counts(df: DataFrame, value: Column, buckets: list[Bucket], pred: Column | None = None, mincount: int = 0) -> DataFrame:
-    """(pos, name, cnt) of each bucket; zeros kept unless mincount says otherwise."""
+    """(pos, name, cnt) of each bucket; zeros kept unless mincount says otherwise.
+
+    A few buckets are conditional counts of one aggregate. Many equal steps are
+    counted by the step that a value falls in, so the plan doesn't grow with their number.
+    """
     hit = F.lit(True) if pred is None else pred
-    wide = df.select(value.alias("v"), hit.alias("hit")).agg(*[F.count_if(F.col("hit") & b.test(F.col("v"))).alias(f"c{i}") for i, b in enumerate(buckets)])
+    rows = df.select(value.alias("v"), hit.alias("hit"))
+    if len(buckets) > WIDE and getattr(buckets, "many", 0) > 1:
+        return _stepped(rows, buckets).where(F.col("cnt") >= mincount)
+    wide = rows.agg(*[F.count_if(F.col("hit") & b.test(F.col("v"))).alias(f"c{i}") for i, b in enumerate(buckets)])
     rows = wide.select(F.posexplode(F.array(*[F.struct(F.lit(b.name).alias("name"), F.col(f"c{i}").alias("cnt")) for i, b in enumerate(buckets)])).alias("pos", "r"))
     return rows.select(F.col("pos").cast("long").alias("pos"), "r.name", "r.cnt").where(F.col("cnt") >= mincount)
 
 
+def _stepped(rows: DataFrame, buckets: Buckets) -> DataFrame:
+    n, v = buckets.many, F.col("v")
+    edge = lambda i: F.lit(buckets.start) + i * F.lit(buckets.gap)
+    rows = rows.where(F.col("hit") & v.isNotNull()).withColumn("s", F.floor((v - F.lit(buckets.start)) / F.lit(buckets.gap)).cast("long"))
+    # a rounded quotient may be one off; the bounds themselves decide
+    s = F.col("s")
+    rows = rows.withColumn("step", F.when(v < edge(s), s - 1).when(v >= edge(s + 1), s + 1).otherwise(s))
+    i, middle, first, last = F.col("step"), buckets[1], buckets[0], buckets[n - 1]
+    low_in = F.when(i == 0, F.lit(first.low_in)).when(i == n - 1, F.lit(last.low_in)).otherwise(F.lit(middle.low_in))
+    high_in = F.when(i == n, F.lit(last.high_in)).when(i == 1, F.lit(first.high_in)).otherwise(F.lit(middle.high_in))
+    on_edge = v == edge(i)
+    inside = (i >= 0) & (i < n) & (v < F.lit(last.high))
+    places = [F.when(inside & (~on_edge | low_in), i), F.when((i > 0) & (i <= n) & on_edge & high_in & (v <= F.lit(last.high)), i - 1), F.when((i == n - 1) & (v == F.lit(last.high)) & F.lit(last.high_in) & ~on_edge, i)]
+    places += [F.when(b.test(v), F.lit(n + j).cast("long")) for j, b in enumerate(buckets[n:])]
+    found = rows.select(F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())).alias("pos")).groupBy("pos").agg(F.count(F.lit(1)).alias("cnt"))
+    wanted = rows.sparkSession.createDataFrame([(i, b.name) for i, b in enumerate(buckets)], "pos long, name string")
+    return wanted.join(found, "pos", "left").select("pos", "name", F.coalesce("cnt", F.lit(0).cast("long")).alias("cnt"))
+
+
 def intervals(*items: tuple) -> list[Bucket]:
     """Buckets from (low, high, low included, high included, name) tuples; they may overlap."""
     return [Bucket(name, low, high, low_in, high_in) for low, high, low_in, high_in, name in items]

@@ -16,17 +16,37 @@ def _numbered(page: DataFrame, *order: Column) -> DataFrame:
     return page.withColumn("pos", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
 
 
+#: Cells that an unbounded page is cut into.
+CELLS = 256
+
+
+def _numbered_all(rows: DataFrame, key: Column) -> DataFrame:
+    """pos 0, 1, .. of all rows by an ascending key, no row with an equal one; cells between sampled keys are numbered apart, after the rows of the cells ahead."""
+    keyed = rows.withColumn("__key", key)
+    bounds = keyed.select("__key").orderBy(F.xxhash64("__key")).limit(CELLS - 1).agg(F.array_sort(F.collect_list("__key")).alias("__bounds"))
+    cut = keyed.crossJoin(F.broadcast(bounds)).withColumn("__cell", F.size(F.filter("__bounds", lambda b: b <= F.col("__key")))).drop("__bounds")
+    ahead = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # over CELLS rows
+    cells = cut.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n")).select("__cell", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    place = F.row_number().over(Window.partitionBy("__cell").orderBy("__key"))
+    return cut.join(F.broadcast(cells), "__cell").withColumn("pos", (place - 1 + F.col("__ahead")).cast("long")).drop("__cell", "__key", "__ahead")
+
+
+def page(rows: DataFrame, limit: int, offset: int, *order: Column, key: Column) -> DataFrame:
+    """rows offset .. offset + limit in the given order, with pos; limit < 0 is unbounded and uses `key`, the same order as one ascending value."""
+    if limit < 0:
+        every = _numbered_all(rows, key)
+        return every.where(F.col("pos") >= offset).withColumn("pos", F.col("pos") - offset) if offset else every
+    return _numbered(rows.orderBy(*order).offset(offset).limit(limit), *order)
+
+
 def count_page(counts: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """(pos, term, cnt) by count descending, then term; limit < 0 is unbounded."""
-    order = (F.desc("cnt"), F.asc("term"))
-    page = counts.orderBy(*order).offset(offset)
-    return _numbered(page.limit(limit) if limit >= 0 else page, *order)
+    return page(counts, limit, offset, F.desc("cnt"), F.asc("term"), key=F.struct((-F.col("cnt")).alias("c"), "term"))
 
 
 def index_page(counts: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """(pos, term, cnt) by term; limit < 0 is unbounded."""
-    page = counts.orderBy("term").offset(offset)
-    return _numbered(page.limit(limit) if limit >= 0 else page, F.asc("term"))
+    return page(counts, limit, offset, F.asc("term"), key=F.col("term"))
 
 
 def target_window(keys: DataFrame, key: list[str], below: Column, limit: int, offset: int = 0) -> DataFrame:

@@ -106,6 +106,56 @@ def test_ranges_and_dates():
             ranges.range_buckets(0, 2, **bad)
 
 
+@pytest.mark.parametrize("include", [("lower",), ("upper",), ("lower", "upper"), ("edge",), ("lower", "edge", "outer"), ("all",)])
+@pytest.mark.parametrize("start,end,gap,hardend", [(0, 205, 2, True), (0, 205, 2, False), (-3.0, 7.0, 0.1, False), (0.1, 9.95, 0.1, True)])
+def test_many_equal_steps(spark, include, start, end, gap, hardend):
+    """Counted by step as by testing each bucket."""
+    values = [start + i * gap / 2 for i in range(-20, 260)] + [start + i * gap for i in range(120)] + [end, end, None]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    buckets = ranges.range_buckets(start, end, gap, hardend, ("all",), include)
+    assert len(buckets) > ranges.WIDE
+    got = rows(ranges.bucket_counts(df, F.col("v"), buckets, F.col("v") < 150).orderBy("pos"), "pos", "name", "cnt")
+
+    def hits(b, v):
+        return v is not None and v < 150 and (b.low is None or v > b.low or b.low_in and v == b.low) and (b.high is None or v < b.high or b.high_in and v == b.high)
+
+    assert got == [(i, b.name, sum(hits(b, v) for v in values)) for i, b in enumerate(buckets)]
+
+
+@pytest.mark.parametrize("value,want", [
+    ('{"raw": "some value", "refs": {"use_for":["ref1","ref2"], "see_also":["ref3"]}}', [("some value", "filing", 1, None), ("ref1", "filing", 2, "use_for␀some value"), ("ref2", "filing", 3, "use_for␀some value"), ("ref3", "filing", 4, "see_also␀some value")]),
+    ('"something"', [("something", "filing", 1, None)]),
+    ('{"filing":"something","prefix":"The "}', [("something", "filing", 1, None), ("The ", "prefix", 0, None)]),
+    ('{"prefix":"The ","filing":"something"}', [("something", "filing", 1, None), ("The ", "prefix", 0, None)]),
+    ('{"raw": {"prefix": "the ", "filing": "unconsoled"}, "refs": {"use_for":["ref1",{"prefix": "a ", "filing": "chicken"}], "see_also":["ref3"]}}', [
+        ("unconsoled", "filing", 1, None), ("the ", "prefix", 0, None), ("ref1", "filing", 2, "use_for␀unconsoled␀the "), ("chicken", "filing", 3, "use_for␀unconsoled␀the "), ("a ", "prefix", 0, "use_for␀unconsoled␀the "), ("ref3", "filing", 4, "see_also␀unconsoled␀the "),
+    ]),
+])
+def test_reference_tokens(spark, value, want):
+    df = spark.createDataFrame([(1, value), (2, "{"), (3, None)], "d int, v string")
+    got = refs.reference_tokens(df, F.col("d"), F.col("v"), failfast=False).collect()
+    assert [(r["doc"], [(t["term"], t["type"], t["pos_inc"], t["payload"]) for t in r["tokens"]]) for r in got] == [(1, [(*x[:3], x[3] and x[3].replace("␀", NUL)) for x in want])]
+
+
+def test_pivot_of_three_levels(spark):
+    """Limits, offsets and orders for each level; children go with their parents; one rollup in the plan."""
+    data = [(a, b, c) for a, n in (("x", 5), ("y", 9), ("z", 2)) for b in "pqr"[: n // 2] for c in "uvw" for _ in range(n if b == "p" else 1)] + [(None, "p", "u"), ("y", None, "u"), ("y", "p", None)]
+    df = spark.createDataFrame(data, "a string, b string, c string")
+    fields = {k: F.col(k) for k in "abc"}
+    got = pivot.pivot_counts(df, fields, limit=[2, 2, 1], offset=[0, 0, 1], by_count=[True, True, False])
+    want = []
+    count = lambda *k: sum(r[: len(k)] == k for r in data)
+    tops = sorted({r[0] for r in data} - {None}, key=lambda a: (-count(a), a))[:2]
+    for i, a in enumerate(tops):
+        want.append((1, a, None, None, count(a), i))
+        mids = sorted({r[1] for r in data if r[0] == a} - {None}, key=lambda b: (-count(a, b), b))[:2]
+        for j, b in enumerate(mids):
+            want.append((2, a, b, None, count(a, b), j))
+            want += [(3, a, b, c, count(a, b, c), n) for n, c in enumerate(sorted({r[2] for r in data if r[:2] == (a, b)} - {None})[1:2])]
+    assert sorted(map(str, rows(got, "level", "a", "b", "c", "cnt", "pos"))) == sorted(map(str, want))
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Expand ") == 1
+
+
 def test_heatmap(spark):
     df = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0), (1.0, 0.1), (2.0, 0.0)], "x double, y double")
     cells = pivot.heatmap_counts(df, F.col("x"), F.col("y"), (0.0, 0.0, 1.0, 1.0), 2, 3)

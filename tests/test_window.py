@@ -51,6 +51,16 @@ def test_bounded_form_is_the_closed_form(spark, n, p, limit, offset):
     assert got[0] == want and (not want or got[1] == at)
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 3000])
+def test_unbounded_pages(spark, n):
+    counts = spark.range(n).select(F.concat(F.lit("t"), F.col("id")).alias("term"), (F.col("id") % 7).alias("cnt"))
+    data = [(f"t{i}", i % 7) for i in range(n)]
+    got = sorted((r["pos"], r["term"]) for r in window.index_page(counts, -1, 2).collect())
+    assert got == list(enumerate(sorted(t for t, _ in data)[2:]))
+    page = window.count_page(counts, -1)
+    assert sorted((r["pos"], r["term"]) for r in page.collect()) == list(enumerate(t for t, _ in sorted(data, key=lambda x: (-x[1], x[0]))))
+
+
 def test_limit_must_be_positive(spark):
     with pytest.raises(ValueError):
         window.term_window(spark.createDataFrame([("a", 1)], "term string, cnt long"), "a", 0)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .functions import text, tokens
 from .operators import payload, pivot, ranges, terms, window
 from .operators.terms import TermFilter
-from .plans import request
+from .plans import request, response
+from .plans.fields import FieldSpec
 from .sources import refs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -345,6 +346,16 @@ add(
     _tok([("a", "even_orig", 1, "0", "la"), ("upper(a)", "even_fork", 0, "0", "la"), ("upper(a) || '!!' || a", "joined", 0, "0", "la"), ("b", "odd", 1, "la + 1", "l")]),
 )
 
+_src = "split_part(p_name, ' ', 2) || '|' || split_part(p_name, ' ', 1) || ' '"
+_json_tokens = [("p_name", "filing", 1, "null", "="), ("split_part(p_name, ' ', 2)", "filing", 1, "null", "<>"), ("split_part(p_name, ' ', 1) || ' '", "prefix", 0, "null", "<>"), ("p_type", "filing", 2, f"'see_also|' || {_src}", "<>"), ("p_brand", "filing", 3, f"'use_for|' || {_src}", "<>")]
+
+
+@query(" union all ".join(f"select p_partkey, {max(0, i - 1)}::bigint as n, {term} as term, '{kind}' as type, {inc}::int as pos_inc, ({pay})::varchar as payload from part where p_partkey % 3 {op} 0" for i, (term, kind, inc, pay, op) in enumerate(_json_tokens)))
+def tokens_json(s: SparkSession, d: str) -> DataFrame:
+    rows = refs.reference_tokens(t(s, d, "part"), c("p_partkey"), _json()).select(c("doc").alias("p_partkey"), F.posexplode("tokens").alias("n", "k"))
+    return rows.select("p_partkey", c("n").cast("long").alias("n"), "k.term", "k.type", "k.pos_inc", F.translate("k.payload", text.NUL, "|").alias("payload"))
+
+
 # scalar functions
 
 _packed = lambda: F.concat_ws(text.NUL, F.lower("p_brand"), "p_brand", F.when(c("p_size") > 25, F.split_part("p_name", F.lit(" "), F.lit(1))))
@@ -381,3 +392,91 @@ def request_params(s: SparkSession, d: str) -> DataFrame:
 def request_target(s: SparkSession, d: str) -> DataFrame:
     params = {"facet": "true", "facet.field": "{!key=names}p_name", "facet.target": "m", "facet.sort": "index", "facet.limit": "5", "facet.offset": "2", "facet.mincount": "1"}
     return request.run(t(s, d, "part"), params)["facet_fields"]["names"]
+
+
+@query(window_sql("select l_shipmode as term, count(*) as cnt from lineitem group by 1", "term", "term < 'M'", 3, 1, "term, cnt").replace("l_shipmode", "strftime(l_shipdate, '%Y-%m')").replace("'M'", "'1995-03'"))
+def window_shards(s: SparkSession, d: str) -> DataFrame:
+    line, month = t(s, d, "lineitem"), F.date_format("l_shipdate", "yyyy-MM")
+    merged = terms.merge_shards(*[terms.term_counts(line.where(c("l_suppkey") % 3 == i), month, mincount=1) for i in range(3)])
+    return window.term_window(merged, "1995-03", 3, 1)
+
+
+@query(f"""select '[' || string_agg('{{"pos":' || pos || ',"term":"' || term || '","cnt":' || cnt || '}}', ',' order by pos) || ']' as json from ({page_sql(counts_sql("p_brand", "part"), "cnt desc, term", 10)})""")
+def response_json(s: SparkSession, d: str) -> DataFrame:
+    return response.as_json(window.count_page(terms.term_counts(t(s, d, "part"), c("p_brand"), mincount=1), 10).select("pos", "term", "cnt"))
+
+
+# requests
+
+
+def _request(name: str, df: Callable[[SparkSession, str], DataFrame], kind: str, params: dict[str, str | list[str]], sql: str, spec: FieldSpec | None = None, key: str | None = None, then: Callable[[DataFrame], DataFrame] = lambda x: x) -> None:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        own = {f.removeprefix("f.").split(".facet.")[0]: spec for f in [params[f"facet.{kind}"]]} if spec else {}
+        return then(next(iter(request.run(df(s, d), {"facet": "true", **params}, own, key)[f"facet_{kind}s"].values())))
+
+    add(name, run, sql)
+
+
+_order = lambda s, d: t(s, d, "orders")
+_line = lambda s, d: t(s, d, "lineitem")
+_part = lambda s, d: t(s, d, "part")
+_word = lambda s, d: t(s, d, "documents").select("doc_id", _first().alias("word")).where("word <> ''")
+_keys = "filing as term, norm, filing, prefix, cnt"
+
+_request(
+    "request_doc_window", _part, "field",
+    {"facet.field": "p_name", "fq": "p_size > 10", "facet.target": "green bolt", "facet.targetDoc": "5", "facet.limit": "8", "facet.offset": "3", "facet.sort": "index", "fl": "p_brand"},
+    _SQL["doc_window"], key="p_partkey",
+)
+_request(
+    "request_doc_window_folded", _word, "field", {"facet.field": "word", "facet.target": "the", "facet.target.strict": "false", "facet.targetDoc": "20", "facet.limit": "9", "facet.offset": "4"},
+    window_sql(f"select {_fold_sql.format(x='word')} as norm, word as filing, null::varchar as prefix, doc_id::varchar as doc_key from (select doc_id, split_part(text, ' ', 1) as word from documents) where word <> ''", "norm, filing, doc_key",
+               "norm < 'the' or norm = 'the' and doc_key < case when (select count(*) from k where norm = 'the') > 0 then '20' else '' end", 9, 4, "filing as term, norm, filing, prefix, doc_key"),
+    FieldSpec(), "doc_id",
+)
+_request("request_folded", _word, "field", {"facet.field": "word", "facet.target": "Été", "facet.limit": "8", "facet.offset": "3", "facet.mincount": "1"}, window_sql(_folded_sql, "norm, filing", "norm < 'ete'", 8, 3, _keys), FieldSpec())
+_request("request_strict", _word, "field", {"facet.field": "word", "facet.target": "The", "facet.target.strict": "true", "f.word.facet.limit": "6", "facet.offset": "2", "facet.zeros": "false"}, window_sql(_folded_sql, "norm, filing", "(norm, filing) < ('the', 'The')", 6, 2, _keys), FieldSpec())
+_request(
+    "request_external", lambda s, d: t(s, d, "part").select(_packed().alias("packed")), "field", {"facet.field": "packed", "facet.sort": "count", "facet.limit": "12", "facet.offset": "3"},
+    f"""select row_number() over (order by cnt desc, norm, filing, prefix nulls first) - 1 as pos, replace(coalesce(prefix, '') || filing, '#', '-') as term, replace(url_encode(coalesce(prefix, '') || filing), '%20', '+') as value, norm, filing, prefix, cnt
+    from (select lower(p_brand) as norm, p_brand as filing, {_prefix_sql} as prefix, count(*) as cnt from part group by all order by cnt desc, norm, filing, prefix nulls first limit 12 offset 3)""",
+    FieldSpec(packed=True, display=lambda x: F.replace(x, F.lit("#"), F.lit("-")), serialized=text.uri_escape),
+)
+_own_sql = """select case when p_partkey % 3 = 0 then p_name else split_part(p_name, ' ', 2) end as filing, case when p_partkey % 3 <> 0 then split_part(p_name, ' ', 1) || ' ' end as prefix, p_partkey as doc, null::varchar as ref from part
+union all select p_type, null, p_partkey, 'see_also|' || split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) from part where p_partkey % 3 <> 0 union all select p_brand, null, p_partkey, 'use_for|' || split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) from part where p_partkey % 3 <> 0"""
+_request(
+    "request_extended", lambda s, d: t(s, d, "part").select("p_partkey", _json().alias("j")), "field", {"facet.field": "j", "facet.target": "S", "facet.limit": "6", "facet.offset": "3", "facet.mincount": "1", "facet.extend": "true"},
+    window_sql(f"select lower(filing) as norm, filing, prefix, count(distinct doc) as cnt, count(distinct doc) filter (where ref is null) as self_cnt, count(distinct ref) as n_refs from ({_own_sql}) group by all", "norm, filing, prefix nulls first", "norm < 's'", 6, 3,
+               "coalesce(prefix, '') || filing as term, norm, filing, prefix, cnt, self_cnt, n_refs"),
+    FieldSpec(references=True), "p_partkey", lambda x: x.withColumn("n_refs", F.size("refs").cast("long")).drop("refs"),
+)
+_request("request_group_truncate", _order, "field", {"facet.field": "o_orderstatus", "facet.mincount": "1", "group.truncate": "true", "group.field": "o_custkey", "group.sort": "o_totalprice desc, o_orderkey"}, f"select row_number() over (order by cnt desc, term) - 1 as pos, * from ({_SQL['facet_group_truncate']})")
+_request(
+    "request_interval", _line, "interval", {"facet.interval": "l_quantity", "f.l_quantity.facet.interval.set": ["[0,10]", "{!key=mid}(5,25]", "{!key=high}[20,*]", "(99,100)"]},
+    _range_sql("lineitem", [("[0,10]", "l_quantity between 0 and 10"), ("mid", "l_quantity > 5 and l_quantity <= 25"), ("high", "l_quantity >= 20"), ("(99,100)", "l_quantity > 99 and l_quantity < 100")]),
+)
+_request(
+    "request_date", _line, "date", {"facet.date": "l_shipdate", "facet.date.start": "1995-01-01T00:00:00Z", "facet.date.end": "1996-01-01T00:00:00Z", "facet.date.gap": "+1MONTH", "facet.date.other": ["before", "after"]},
+    _range_sql("lineitem", [(str(a), f"l_shipdate >= timestamp '{a}' and l_shipdate <= timestamp '{z}'") for a, z in _months] + [("before", "l_shipdate < timestamp '1995-01-01'"), ("after", "l_shipdate > timestamp '1996-01-01'")]),
+)
+_request("request_range_fine", _order, "range", {"facet.range": "o_totalprice", "facet.range.start": "0", "facet.range.end": "500000", "facet.range.gap": "1000", "facet.range.other": "all", "facet.mincount": "1"}, f"""with b as (select i::bigint as pos, (i * 1000.0::double)::varchar as name, i * 1000.0::double as a from range(500) r(i))
+    select pos, name, count(*) as cnt from b join orders on o_totalprice >= a and o_totalprice < a + 1000 group by pos, name union all select * from ({_range_sql("orders", [("before", "o_totalprice < 0"), ("after", "o_totalprice >= 500000"), ("between", "o_totalprice >= 0 and o_totalprice < 500000")]).replace("0::bigint as pos", "500::bigint as pos").replace("1::bigint as pos", "501::bigint as pos").replace("2::bigint as pos", "502::bigint as pos")}) where cnt > 0""")
+_request(
+    "request_heatmap", lambda s, d: t(s, d, "lineitem").select((c("l_discount") * 1800 - 90).alias("lon"), (c("l_tax") * 1000 - 40).alias("lat")).withColumn("where", F.lit(1)), "heatmap", {"facet.heatmap": "where", "facet.heatmap.geom": "[-80 -30 TO 60 35]", "facet.heatmap.gridLevel": "4"},
+    """with x as (select l_discount::double * 1800 - 90 as lon, l_tax::double * 1000 - 40 as lat from lineitem), b as (select * from x where lon between -90 and 67.5 and lat between -33.75 and 45)
+    select 6 - least(floor((lat + 33.75::double) * 7 / 78.75::double), 6)::bigint as pos, least(floor((lon + 90.0::double) * 7 / 157.5::double), 6)::bigint as col, count(*) as cnt, 4::int as grid_level, 7::int as columns, 7::int as rows from b group by 1, 2""",
+    FieldSpec(point=("lon", "lat")), then=lambda x: x.select("pos", F.posexplode("counts").alias("col", "cnt"), "grid_level", "columns", "rows").where("cnt > 0").withColumn("col", c("col").cast("long")),
+)
+
+
+@query(
+    """with n as (select o_orderpriority as pr, o_orderstatus as st, count(*) as cnt, count(*) filter (where o_totalprice > 300000) as dear, count(*) filter (where o_totalprice >= 0 and o_totalprice < 200000) as low, count(*) filter (where o_totalprice >= 200000 and o_totalprice < 400000) as high from orders group by rollup (pr, st)),
+    a as (select *, row_number() over (order by cnt desc, pr) - 1 as pos from n where st is null and pr is not null),
+    b as (select n.*, row_number() over (partition by n.pr order by n.st) - 1 as pos from n join a on a.pr = n.pr and a.pos < 3 where n.st is not null)
+    select 1::int as level, pr, null::varchar as st, cnt, dear, low, high, pos from a where pos < 3 union all select 2, pr, st, cnt, dear, low, high, pos - 1 from b where pos between 1 and 2"""
+)
+def request_pivot_tags(s: SparkSession, d: str) -> DataFrame:
+    params = {"facet": "true", "facet.pivot": "{!query=q range=r key=p}pr,st", "facet.query": "{!tag=q key=dear}o_totalprice > 300000", "facet.range": "{!tag=r key=price}o_totalprice", "facet.range.start": "0", "facet.range.end": "400000", "facet.range.gap": "200000"}
+    params |= {"f.pr.facet.limit": "3", "f.st.facet.limit": "2", "f.st.facet.offset": "1", "f.st.facet.sort": "index"}
+    orders = t(s, d, "orders").select("o_totalprice", c("o_orderpriority").alias("pr"), c("o_orderstatus").alias("st"))
+    return request.run(orders, params)["facet_pivot"]["p"].withColumnsRenamed({"price:0.0": "low", "price:200000.0": "high"})

@@ -20,7 +20,7 @@ def pivot_counts(df: DataFrame, fields: dict[str, Column], pred: Column | None =
     known = F.lit(0)
     for n in names:
         known = known + F.when(F.col(n).isNull(), 1).otherwise(0)
-    aggregates = [F.count(F.lit(1)).alias("cnt"), *[F.count_if(f"__q_{n}").alias(n) for n in queries or {}]]
+    aggregates = [F.count(F.lit(1)).alias("cnt"), *[F.count_if(F.col(f"`__q_{n}`")).alias(n) for n in queries or {}]]
     level = F.lit(0)
     for n in names:
         level = level + 1 - F.grouping(n)
@@ -38,7 +38,7 @@ def pivot_counts(df: DataFrame, fields: dict[str, Column], pred: Column | None =
     for i in range(1, len(names)):  # nodes of a level below go where that node has gone
         here = F.max(F.col("level") == i).over(Window.partitionBy(*[F.when(F.col("level") >= i, F.col(n)) for n in names[:i]], F.col("level") >= i))
         tree = tree.withColumn("__kept", here).where((F.col("level") < i) | F.col("__kept")).drop("__kept")
-    return tree.select("level", *names, "cnt", *(queries or {}), (F.col("pos") - of_level(starts)).cast("long").alias("pos"))
+    return tree.select("level", *names, "cnt", *[f"`{n}`" for n in queries or {}], (F.col("pos") - of_level(starts)).cast("long").alias("pos"))
 
 
 def heatmap_counts(df: DataFrame, x: Column, y: Column, bounds: tuple[float, float, float, float], columns: int, rows: int, pred: Column | None = None, max_cells: int = 100_000) -> DataFrame:

@@ -45,16 +45,24 @@ class FieldSpec:
         rest = [c for c in counts.columns if c != "term"]
         return counts.select(parts.alias("__k"), *rest).select("__k.*", *rest)
 
-    def below(self, target: str, strict: bool) -> Column:
-        """Whether a key is less than the target: by its norm, or, if strict, by the whole key. A target may be a JSON object of filing and prefix."""
+    def target(self, target: str) -> Column:
+        """The key of a target: a term, or a JSON object of filing and prefix."""
         filing, prefix = target, None
         if target.startswith("{"):
             parts = json.loads(target)
             filing, prefix = parts["filing"], parts.get("prefix")
         norm = text.fold_text(filing) if self.fold else filing
-        if not strict:
-            return F.col("norm") < F.lit(norm)
-        return F.struct(*KEY) < F.struct(F.lit(norm).alias("norm"), F.lit(filing).alias("filing"), F.lit(prefix).cast("string").alias("prefix"))
+        return F.struct(F.lit(norm).alias("norm"), F.lit(filing).alias("filing"), F.lit(prefix).cast("string").alias("prefix"))
+
+    def below(self, target: str, strict: bool) -> Column:
+        """Whether a key is less than the target: by its norm, or, if strict, by the whole key."""
+        own = self.target(target)
+        return F.struct(*KEY) < own if strict else F.col("norm") < own["norm"]
+
+    def at(self, target: str, strict: bool) -> Column:
+        """Whether a key is the target."""
+        own = self.target(target)
+        return F.struct(*KEY).eqNullSafe(own) if strict else F.col("norm") == own["norm"]
 
     def external(self, page: DataFrame) -> DataFrame:
         """The page with `term`, the external form of its key, ahead (and `value`, if the field has one)."""

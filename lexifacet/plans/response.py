@@ -13,12 +13,18 @@ def as_json(page: DataFrame) -> DataFrame:
     return page.agg(F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"])).alias("json"))
 
 
+#: Rows that a facet may bring to the driver.
+MOST = 100_000
+
+
 def facet_counts(facets: dict[str, object]) -> dict[str, object]:
-    """The response as nested dictionaries of rows; an action for each facet."""
-    out: dict[str, object] = {}
-    for kind, value in facets.items():
-        if isinstance(value, DataFrame):
-            out[kind] = [r.asDict() for r in value.orderBy("pos").collect()]
-        else:
-            out[kind] = {k: [r.asDict() for r in (v.orderBy(F.asc_nulls_last("pos")) if "pos" in v.columns else v).collect()] for k, v in value.items()}
-    return out
+    """The response as nested dictionaries of rows; an action for each facet. A facet of more than MOST rows is an error: write its table instead."""
+
+    def gathered(df: DataFrame) -> list[dict]:
+        df = df.limit(MOST + 1)
+        rows = (df.orderBy(F.asc_nulls_last("pos")) if "pos" in df.columns else df).collect()
+        if len(rows) > MOST:
+            raise ValueError(f"a facet has more than {MOST} rows")
+        return [r.asDict() for r in rows]
+
+    return {kind: gathered(v) if isinstance(v, DataFrame) else {k: gathered(x) for k, x in v.items()} for kind, v in facets.items()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexifacet.functions import text, tokens
 from lexifacet.operators import payload, pivot, ranges, terms
 from lexifacet.plans import request, response
+from lexifacet.plans.fields import FieldSpec
 from lexifacet.sources import refs
 from lexifacet.streaming.facets import windowed_counts
 
@@ -180,6 +181,63 @@ def test_requests(spark):
         request.run(df, {"facet": "true", "facet.field": "n", "facet.prefix": "1"})
 
 
+@pytest.mark.parametrize("params,message", [
+    ({"facet.field": "t", "facet.targett": "a"}, "unknown parameter"), ({"facet.field": "t", "target": "a"}, "unknown parameter"), ({"facet.field": "t", "f.t.facet.limits": "1"}, "unknown parameter"), ({"facet.field": "zz"}, "no such field"),
+    ({"facet.interval": "n", "facet.interval.set": "[1,2]", "group.facet": "true", "group.field": "g"}, "grouped"), ({"facet.interval": "n"}, "missing parameter"), ({"facet.interval": "n", "facet.interval.set": "1,2"}, "not an interval"), ({"facet.interval": "n", "facet.interval.set": "[2,1]"}, "ends before"),
+    ({"facet.heatmap": "p", "group.facet": "true", "group.field": "g"}, "grouped"), ({"facet.heatmap": "n"}, "no points"), ({"facet.heatmap": "p", "facet.heatmap.format": "png"}, "ints2D"), ({"facet.heatmap": "p", "facet.heatmap.gridLevel": "12"}, "cells"), ({"facet.heatmap": "p", "facet.heatmap.geom": "world"}, "geom"),
+    ({"facet.date": "n", "facet.date.start": "1", "facet.date.end": "2", "facet.date.gap": "1"}, "no date facet"), ({"facet.field": "t", "facet.targetDoc": "1"}, "document keys"), ({"facet.field": "t", "facet.target": "a", "facet.limit": "-1"}, "limit"), ({"facet.field": "t", "facet.target": "a", "facet.method": "enum"}, "method fc"),
+    ({"facet.field": "t", "facet.target": "a", "facet.sort": "count"}, "index order"), ({"facet.field": "t", "facet.extend": "true"}, "references"), ({"facet.field": "t", "group.truncate": "true"}, "group.field"), ({"facet.field": "t", "facet.target": "a", "group.facet": "true", "group.field": "g"}, "grouped"),
+    ({"facet.range": "n", "facet.range.start": "0", "facet.range.end": "9", "facet.range.gap": "1", "facet.range.include": "inner"}, "unknown"),
+])
+def test_requests_that_are_refused(spark, params, message):
+    df = spark.createDataFrame([("a", 1, "x", 0.0, 0.0)], "t string, n int, g string, x double, y double")
+    with pytest.raises(ValueError, match=message):
+        request.run(df, {"facet": "true"} | params, {"p": FieldSpec(point=("x", "y"))})
+
+
+def test_accepted_and_without_effect(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "t string, n int")
+    more = {"facet.threads": "4", "facet.method": "fcs", "facet.enum.cache.minDf": "3", "facet.overrequest.ratio": "2", "facet.overrequest.count": "5", "facet.distrib.mco": "true"}
+    one, two = (rows(request.run(df, {"facet": "true", "facet.field": "t"} | x)["facet_fields"]["t"], "pos", "term", "cnt") for x in ({}, more))
+    assert one == two == [(0, "a", 1), (1, "b", 1)]
+
+
+def test_keys_of_references(spark):
+    values = ['{"raw":{"prefix":"The ","filing":"Été"},"refs":{"use_for":["summer"]}}', '{"prefix":"An ","filing":"été"}', '"Hegel"', '{"raw":"Hegel","refs":{"see_also":[{"prefix":"The ","filing":"Été"}]}}']
+    df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(values)], "d int, v string, p int")
+    ask = lambda **more: request.run(df, {"facet": "true", "facet.field": "v", "facet.extend": "true", "facet.mincount": "1"} | {k.replace("_", "."): x for k, x in more.items()}, {"v": FieldSpec(references=True)}, "d")["facet_fields"]["v"].orderBy("pos")
+    got = ask(facet_sort="index")
+    assert rows(got, "term", "norm", "cnt", "self_cnt") == [("The Été", "ete", 2, 1), ("An été", "ete", 1, 1), ("Hegel", "hegel", 2, 2), ("summer", "summer", 1, 0)]
+    assert [[(x["ref_type"], x["display"], x["cnt"]) for x in r["refs"]] for r in got.collect()] == [[("see_also", "Hegel", 1)], [], [], [("use_for", "The Été", 1)]]
+    strict = ask(facet_target='{"filing":"été","prefix":"An "}', facet_target_strict="true", facet_limit="1")
+    assert rows(strict, "term", "target_offset") == [("An été", 0)]
+    assert rows(ask(facet_target="ETE", facet_limit="1"), "term") == [("The Été",)] and rows(ask(fq="p = 1", facet_sort="index"), "term", "cnt") == [("The Été", 1), ("An été", 1), ("Hegel", 1)]
+
+
+def test_response_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(response, "MOST", 5)
+    facets = {"facet_fields": {"t": spark.range(6).withColumnRenamed("id", "pos")}}
+    with pytest.raises(ValueError, match="more than 5"):
+        response.facet_counts(facets)
+
+
+def test_a_missing_library_leaves_the_other_queries(monkeypatch):
+    import builtins
+
+    import __spark_entry__ as entry
+
+    real = builtins.__import__
+
+    def refuse(name, *args, **kw):
+        if name == "lexifacet.llm" or name == "zstandard":
+            raise ImportError("no zstandard", name="zstandard")
+        return real(name, *args, **kw)
+
+    monkeypatch.setattr(builtins, "__import__", refuse)
+    with pytest.warns(UserWarning, match="left out"):
+        assert "window_pos" in entry.queries()
+
+
 def test_fold():
     assert text.fold_text("ÉtéSTRAẞE") == "etestrasse"
 

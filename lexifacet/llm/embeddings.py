@@ -24,7 +24,6 @@ least vec_id. An empty table gives an empty one.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, components, forest, runs
-from .words import mix
+from .words import Cache, mix
 
 THRESHOLD = 0.98
 BOUND = 5.5
@@ -43,12 +42,16 @@ BUCKET = 20_000
 SEED = 11
 
 
-@functools.lru_cache(8)
+_ROTATION, _PLANES = Cache(), Cache()
+
+
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
     """(d, width): the first d rows of a random orthogonal matrix."""
-    width = max(128, -(-d // 64) * 64)
-    q, r = np.linalg.qr(np.random.default_rng([seed, d]).standard_normal((width, width)))
-    return (q * np.sign(np.diag(r)))[:d]
+    if (d, seed) not in _ROTATION:
+        width = max(128, -(-d // 64) * 64)
+        q, r = np.linalg.qr(np.random.default_rng([seed, d]).standard_normal((width, width)))
+        _ROTATION[d, seed] = (q * np.sign(np.diag(r)))[:d]
+    return _ROTATION[d, seed]
 
 
 def encode(x: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,10 +68,12 @@ def tables_for(classes: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return bits, math.ceil(math.log(1e-6) / math.log(1 - alike))
 
 
-@functools.lru_cache(512)
 def planes(d: int, bits: int, table: int, seed: int = SEED) -> np.ndarray:
     """(d, bits): the hyperplanes of one table."""
-    return np.random.default_rng([seed, d, table]).standard_normal((d, bits))
+    key = d, bits, table, seed
+    if key not in _PLANES:
+        _PLANES[key] = np.random.default_rng([seed, d, table]).standard_normal((d, bits))
+    return _PLANES[key]
 
 
 def bucket_keys(x: np.ndarray, bits: int, tables: int, seed: int = SEED) -> Iterator[np.ndarray]:

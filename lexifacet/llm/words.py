@@ -38,7 +38,16 @@ def _series(n: int, seed: int) -> np.ndarray:
 
 BYTE = _series(256, 1)[LOWER]
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+class Cache(dict):
+    """What a process has worked out for itself: it travels to workers empty."""
+
+    def __reduce__(self):
+        return Cache, ()
+
+
+_POWERS = Cache()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -382,6 +382,15 @@ def test_urls_against_brute_force(spark):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in urls.judge(every, weights).collect())
 
 
+def test_caches_stay_at_home(spark):
+    """What functions cache in the driver doesn't travel with them: their pickled forms are small."""
+    from pyspark import cloudpickle
+
+    decontam.tiles(["a"] * 9, [["a"] * 9], 5), embeddings.rotation(64), list(embeddings.bucket_keys(np.ones((1, 64)), 8, 30))
+    for f in (decontam.tiles, embeddings.linked, embeddings.encode, quality.features, minhash.digests, pii.find, langid.label_texts, licenses.Scanner):
+        assert len(cloudpickle.dumps(f)) < 200_000, f
+
+
 def test_viterbi():
     rng = np.random.default_rng(0)
     for k in (1, 2, 4, 5, 130, 200):

@@ -368,7 +368,7 @@ def _find(model: dict, column: pa.Array) -> list[list[tuple[int, int, str, bool]
 
 
 def find_personal_data(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (of all spans), base_sha256, spans, n_spans and n_added (spans in all, and those of the field) of each document."""
+    """doc_id, n_email, n_ip, n_card, n_phone (of all spans), base_sha256, spans, n_spans and n_added (spans in all, and those of the field), base_email, base_ip, base_card and base_phone (of base spans) of each document."""
 
     def text(spans: list[tuple[int, int, str, bool]]) -> str:
         return ",".join(f"{k}:{s}:{e}" for s, e, k, _ in spans)
@@ -376,8 +376,10 @@ def find_personal_data(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = find(model, b.column("text"))
-            n = [pa.array([sum(x[2] == k for x in f) for f in found], pa.int64()) for k in KINDS]
+            n, base = ([pa.array([sum(x[2] == k and (x[3] or every) for x in f) for f in found], pa.int64()) for k in KINDS] for every in (True, False))
             sha = pa.array([hashlib.sha256(text([x for x in f if x[3]]).encode()).hexdigest() for f in found], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *n, sha, pa.array([text(f) for f in found], pa.string()), pa.array([len(f) for f in found], pa.int64()), pa.array([sum(not x[3] for x in f) for f in found], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "n_added"])
+            columns = [b.column("doc_id"), *n, sha, pa.array([text(f) for f in found], pa.string()), pa.array([len(f) for f in found], pa.int64()), pa.array([sum(not x[3] for x in f) for f in found], pa.int64()), *base]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "n_added", *(f"base_{k}" for k in KINDS)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long")
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long, base_email long, base_ip long, base_card long, base_phone long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)

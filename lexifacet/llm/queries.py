@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, embeddings, langid, licenses, minhash, mixing, pii, quality, sharding, urls
 
@@ -43,7 +44,9 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_personal_data(table(spark, sf_dir, "documents"), pii.train())
+    """The counts n_ are of base spans, as the contract fixes them; spans holds all, n_added counts the others."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"), pii.train())
+    return found.select("doc_id", *[F.col(f"base_{k}").alias(f"n_{k}") for k in pii.KINDS], "base_sha256", "spans", "n_spans", "n_added")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -480,6 +480,19 @@ def test_pii_query_against_brute_force(spark):
         assert spans == sorted(spans, key=lambda x: (int(x[1]), pii.KINDS.index(x[0])))
 
 
+def test_pii_query_counts_base_spans(spark, tmp_path):
+    """The query's counts are those of the base patterns, whatever the field adds."""
+    texts = ["john.d[at]example[dot]com a.b@c.de", "see 10[.]0[.]0[.]7 10[.]0[.]0[.]8 ok 1.2.3.4", "call 555 123 4567", "pay 4111.1111.1111.1111 now", "+1 (386) 555-3733 4111111111111111 x", "é 999.1.1.1 +49 30 1234567", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_pii(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) and sum(r["n_added"] for r in got) >= 6
+    for r in got:
+        base = brute_spans(texts[r["doc_id"]] or "")
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[2] == k for x in base) for k in pii.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
+        assert r["n_spans"] == len([x for x in r["spans"].split(",") if x]) == len(base) + r["n_added"]
+
+
 def test_field_on_values_it_has_not_seen():
     """Other fills of the table, word by word: what the base patterns don't find is added, and little else."""
     model = pii.train()

@@ -352,8 +352,8 @@ _json_tokens = [("p_name", "filing", 1, "null", "="), ("split_part(p_name, ' ',
 
 @query(" union all ".join(f"select p_partkey, {max(0, i - 1)}::bigint as n, {term} as term, '{kind}' as type, {inc}::int as pos_inc, ({pay})::varchar as payload from part where p_partkey % 3 {op} 0" for i, (term, kind, inc, pay, op) in enumerate(_json_tokens)))
 def tokens_json(s: SparkSession, d: str) -> DataFrame:
-    rows = refs.reference_tokens(t(s, d, "part"), c("p_partkey"), _json()).select(c("doc").alias("p_partkey"), F.posexplode("tokens").alias("n", "k"))
-    return rows.select("p_partkey", c("n").cast("long").alias("n"), "k.term", "k.type", "k.pos_inc", F.translate("k.payload", text.NUL, "|").alias("payload"))
+    rows = refs.token_rows(t(s, d, "part"), c("p_partkey"), _json())
+    return rows.select(c("doc").alias("p_partkey"), c("n").cast("long").alias("n"), "k.term", "k.type", "k.pos_inc", F.translate("k.payload", text.NUL, "|").alias("payload"))
 
 
 # scalar functions

@@ -21,7 +21,8 @@ def _part(v: str) -> tuple[str, str]:
 def parsed(df: DataFrame, doc: Column, value: Column, failfast: bool = True) -> DataFrame:
     """(doc, own, refs): the value itself as struct(filing, prefix), and its references in order as structs with ref_type too. One pass, no shuffle."""
     parse = F.parse_json if failfast else F.try_parse_json
-    rows = df.select(doc.alias("doc"), parse(value).alias("v"), F.from_json(value, SHAPE).alias("r")).where("v is not null")
+    rows = df.select(doc.alias("doc"), value.alias("j")).where("j is not null").select("doc", parse("j").alias("v"), F.from_json("j", SHAPE).alias("r"))
+    rows = rows if failfast else rows.where("v is not null")  # with failfast no other value gives null, and the filter would parse once more
     rows = rows.select("doc", F.expr("if(r.raw is null and r.refs is null, v, r.raw)").alias("v"), F.expr("r.refs").alias("refs"))
     (f, p), (rf, rp) = _part("v"), _part("x")
     item = f"named_struct('ref_type', e.key, 'filing', {rf}, 'prefix', {rp})"
@@ -63,6 +64,17 @@ def reference_tokens(df: DataFrame, doc: Column, value: Column, failfast: bool =
     return rows.select("doc", F.concat(own, F.flatten(refs)).alias("tokens"))
 
 
+def token_rows(df: DataFrame, doc: Column, value: Column, failfast: bool = True) -> DataFrame:
+    """(doc, n, k): the tokens of reference_tokens as rows, numbered from 0 in their document.
+
+    The generator is an outer one, whose rows of no token are dropped after it: of
+    an inner one Spark infers a filter on the size of the array, and pushes it to
+    the scan with the parse written out for every mention of a part.
+    """
+    rows = reference_tokens(df, doc, value, failfast)
+    return rows.select("doc", F.posexplode_outer("tokens").alias("n", "k")).where("k is not null")
+
+
 def packed_payload(ref_type: Column, filing: Column, prefix: Column) -> Column:
     """The packed payload of a reference."""
     return F.concat_ws(NUL, ref_type, filing, prefix)

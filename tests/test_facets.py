@@ -4,6 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
+from lexifacet import catalog
 from lexifacet.functions import text, tokens
 from lexifacet.operators import payload, pivot, ranges, terms
 from lexifacet.plans import request, response
@@ -138,6 +140,25 @@ def test_reference_tokens(spark, value, want):
     assert [(r["doc"], [(t["term"], t["type"], t["pos_inc"], t["payload"]) for t in r["tokens"]]) for r in got] == [(1, [(*x[:3], x[3] and x[3].replace("␀", NUL)) for x in want])]
 
 
+def test_token_rows(spark):
+    """The rows of reference_tokens' arrays, none for a value without tokens; each value is parsed once."""
+    values = ['{"raw":{"prefix":"the ","filing":"a"},"refs":{"use_for":["b",{"prefix":"c ","filing":"d"}],"see_also":[]}}', '"e"', "{}", "[]", "null", "", None, '{"refs":{"use_for":["f"]}}', '{"raw":"g","refs":{}}', '{"raw":null,"refs":{"see_also":[null,{},"h"]}}', '{"filing":null,"prefix":"i"}', "7", '{"filing":"j"}']
+    df = spark.createDataFrame(list(enumerate(values)), "d int, v string").repartition(2)
+    arrays = refs.reference_tokens(df, F.col("d"), F.col("v"), failfast=False).collect()
+    got = refs.token_rows(df, F.col("d"), F.col("v"), failfast=False).collect()
+    want = [(r["doc"], n, k) for r in arrays for n, k in enumerate(r["tokens"])]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got) and len({r["doc"] for r in arrays} - {r["doc"] for r in got}) == 2
+    for bad in ("{", '{"raw":"a","refs":{"x":', '"a'):
+        one = spark.createDataFrame([(1, bad)], "d int, v string")
+        for f in (refs.references, refs.token_rows):
+            assert f(one, F.col("d"), F.col("v"), failfast=False).count() == 0
+            with pytest.raises(Exception, match="MALFORMED"):
+                f(one, F.col("d"), F.col("v")).collect()
+    for name in ("tokens_json", "refs_postings"):
+        plan = catalog.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("parseJson("), plan.count("from_json(")) == (1, 1), name
+
+
 def test_pivot_of_three_levels(spark):
     """Limits, offsets and orders for each level; children go with their parents; one rollup in the plan."""
     data = [(a, b, c) for a, n in (("x", 5), ("y", 9), ("z", 2)) for b in "pqr"[: n // 2] for c in "uvw" for _ in range(n if b == "p" else 1)] + [(None, "p", "u"), ("y", None, "u"), ("y", "p", None)]
